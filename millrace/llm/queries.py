@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, chat, order_minhash, token_files
+from .common import work_dir, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -25,6 +27,63 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of every text with end id 1, written in id order and read back."""
+    path = work_dir(spark, "token-files")
+    token_files.write_tokens(
+        table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=1, metadata=("source", "lang")
+    )
+    return token_files.crc32_of_ids(token_files.read_tokens(spark, path))
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a reply chain, formatted, written, and read back."""
+    texts = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    nodes = texts.union(extra).withColumn("node", F.row_number().over(by_turn))
+    messages = nodes.select(
+        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text",
+        F.length("text").alias("score"),
+    )
+    out = written(chat.format_chats(messages), "chats")
+    turns = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn(
+        "loss", chat.trained_text(F.col("formatted"), F.col("loss_spans"))
+    )
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return turns.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+        + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + 22)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its half-edited text, with their likenesses."""
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced-boundary BPE of every text: counts and digests of ids and of the decoded text."""
