@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries kept in a worker's memo of chunks; it is emptied when full, results do not depend on it.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 700_000
 
 
 def byte_alphabet() -> dict[int, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, order_minhash, token_files
+from . import bpe, chat, language, order_minhash, token_files, toxicity
 from .common import work_dir, written
 
 QUERIES: dict = {}
@@ -78,12 +78,31 @@ FROM t GROUP BY conv_id
 """
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from labels of rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(toxicity.fold(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its half-edited text, with their likenesses."""
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(toxicity.fold(F.col("doc_id"), 4) != 2))
+    return language.predict(docs, model).select(
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced-boundary BPE of every text: counts and digests of ids and of the decoded text."""

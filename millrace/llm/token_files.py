@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries of a worker's memo of chunks; emptied when full, results do not depend on it.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 700_000
 #: Parquet settings: 32 MB row groups, pages of at most 256 KB or 2,000 rows, page indexes.
 FILE_OPTIONS = {
     "compression": "zstd",
