@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, order_minhash, token_files, toxicity
+from . import bpe, chat, embedding_dedup, language, order_minhash, token_files, toxicity, url_filter
 from .common import work_dir, written
 
 QUERIES: dict = {}
@@ -78,6 +78,74 @@ FROM t GROUP BY conv_id
 """
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated blocklist over the hosts of the pages: additions, removals, returns, by host, domain and section."""
+    hosts = (
+        pages.select(url_filter.host_of(F.col("url")).alias("host"), "page_id").filter("host is not null")
+        .groupBy("host").agg(F.min("page_id").alias("m"), F.count("*").alias("c"))
+    )
+    kind = F.element_at(F.array(F.lit("spam"), F.lit("adult"), F.lit("malware")), (F.col("m") % 3 + 1).cast("int"))
+
+    def rows(where: str, key, category, day, action: str) -> DataFrame:
+        return hosts.filter(where).select(key.alias("key"), category.alias("category"), day.cast("int").alias("day"), F.lit(action).alias("action"))
+
+    host, day = F.col("host"), F.col("m") % 60
+    section, part = F.concat("host", F.lit("/fr")), F.lit("section")
+    entries = (
+        rows("m % 2 = 0", host, kind, day, "add")
+        .union(rows("m % 2 = 0", host, kind, day + 10 + F.col("c") % 20, "remove"))
+        .union(rows("m % 2 = 0 and c % 2 = 1", host, kind, day + 40, "add"))
+        .union(rows("m % 3 = 0", section, part, F.lit(5), "add"))
+        .union(rows("m % 3 = 0", section, part, F.lit(70), "remove"))
+    )
+    domains = pages.sparkSession.createDataFrame(
+        [("example.org", "tracker", 20, "add"), ("example.org", "tracker", 50, "remove"), ("example.net", "ads", 0, "add"),
+         ("example.net", "ads", 15, "remove"), ("example.net", "ads", 75, "add")],
+        "key string, category string, day int, action string",
+    )
+    return entries.union(domains).select("key", "category", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(day)").alias("at"), "action")
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active when it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(page_id % 90 as int), 0, 0, cast(page_id * 7919 % 86400 as decimal(18,6)))")
+    captures = pages.select(F.col("page_id").alias("id"), "url", fetched.alias("fetched_at"))
+    return url_filter.evaluate(captures, dated_list(pages)).select(
+        F.col("id").alias("page_id"), "host", "blocked", "n_rules", F.array_join("categories", ",").alias("categories"),
+        F.col("active_since").cast("string").alias("active_since"),
+    )
+
+
+ORACLE_SQL["op4_url_filter"] = r"""
+WITH p AS (
+    SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', ''), '') AS host,
+        lower(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)', 1), '^/+|/+$', '', 'g')) AS path,
+        TIMESTAMP '2024-01-01' + to_days((page_id % 90)::INT) + to_seconds((page_id * 7919 % 86400)::BIGINT) AS fetched
+    FROM pages
+), h AS (SELECT host, min(page_id) AS m, count(*) AS c FROM p WHERE host IS NOT NULL GROUP BY host),
+e AS (
+    SELECT host AS key, ['spam', 'adult', 'malware'][m % 3 + 1] AS category, m % 60 AS d, 'add' AS action FROM h WHERE m % 2 = 0
+    UNION ALL SELECT host, ['spam', 'adult', 'malware'][m % 3 + 1], m % 60 + 10 + c % 20, 'remove' FROM h WHERE m % 2 = 0
+    UNION ALL SELECT host, ['spam', 'adult', 'malware'][m % 3 + 1], m % 60 + 40, 'add' FROM h WHERE m % 2 = 0 AND c % 2 = 1
+    UNION ALL SELECT host || '/fr', 'section', 5, 'add' FROM h WHERE m % 3 = 0
+    UNION ALL SELECT host || '/fr', 'section', 70, 'remove' FROM h WHERE m % 3 = 0
+    UNION ALL VALUES ('example.org', 'tracker', 20, 'add'), ('example.org', 'tracker', 50, 'remove'), ('example.net', 'ads', 0, 'add'),
+        ('example.net', 'ads', 15, 'remove'), ('example.net', 'ads', 75, 'add')
+), u AS (
+    SELECT key, category, TIMESTAMP '2024-01-01' + to_days(d::INT) AS f, max(action) AS action FROM e GROUP BY ALL
+), i AS (
+    SELECT * FROM (SELECT *, lead(f) OVER (PARTITION BY key, category ORDER BY f) AS t FROM u) WHERE action = 'add'
+)
+SELECT p.page_id, p.host, count(i.key) > 0 AS blocked, count(i.key)::BIGINT AS n_rules,
+    coalesce(string_agg(DISTINCT i.category, ',' ORDER BY i.category), '') AS categories, max(i.f)::VARCHAR AS active_since
+FROM p LEFT JOIN i ON p.fetched >= i.f AND (i.t IS NULL OR p.fetched < i.t)
+    AND (p.host = i.key OR ends_with(p.host, '.' || i.key) OR p.host || '/' || p.path = i.key OR starts_with(p.host || '/' || p.path, i.key || '/') AND contains(i.key, '/'))
+GROUP BY p.page_id, p.host
+"""
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from labels of rows outside the held-out fold."""
@@ -103,6 +171,12 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label, by a random-projection forest."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced-boundary BPE of every text: counts and digests of ids and of the decoded text."""
