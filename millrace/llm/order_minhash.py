@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, ELL, SLOTS = 8, 2, 32
+#: Ranges of ids when documents are compared with the next one.
+MOST_RANGES = 20_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -169,7 +171,7 @@ def compare_with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     The next document is the one that follows in descending ``doc_id`` (ties by text), the
     first one for the last. Ids are cut into ranges of about ``rows_per_range`` rows; each range
     also gets the first document of the range below it, so one shuffle of the texts suffices.
-    Only one id for each range is kept on the driver. Null ids sort last.
+    Only one id for each range is kept on the driver; beyond ``MOST_RANGES`` ranges grow instead. Null ids sort last.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -180,13 +182,11 @@ def compare_with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     total = d.count()
     if not total:
         return spark.createDataFrame([], schema)
-    n = max(1, -(-total // rows_per_range))
+    n = min(MOST_RANGES, max(1, -(-total // rows_per_range)))
     low = -(2**63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low))
     cuts = d.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    pieces = max(1, spark.sparkContext.defaultParallelism, n)
-
     # A range's number is the count of cuts at or below its ids: a broadcast of n sorted numbers.
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     d = d.withColumn("range", F.size(F.filter(bounds, lambda c: c <= key)) if len(cuts) <= 64 else _range_of(spark, key, cuts))
@@ -227,7 +227,7 @@ def compare_with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
             )
 
     return (
-        rows.repartition(pieces, "range")
+        rows.repartitionById(len(cuts) + 1, "range")
         .sortWithinPartitions("range", "last", F.col("doc_id").desc_nulls_last(), "text")
         .mapInArrow(run, schema)
     )

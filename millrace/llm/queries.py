@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, language, order_minhash, token_files, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, language, order_minhash, set_join, token_files, toxicity, url_filter
 from .common import work_dir, written
 
 QUERIES: dict = {}
@@ -78,6 +78,12 @@ FROM t GROUP BY conv_id
 """
 
 
+@query
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingle sets of every text, linked at a Jaccard similarity of 0.75."""
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def dated_list(pages: DataFrame) -> DataFrame:
     """A dated blocklist over the hosts of the pages: additions, removals, returns, by host, domain and section."""
     hosts = (
