@@ -68,12 +68,13 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("branch_score"), F.col("steps").alias("pos"), "node")
+    path = written(path, "chat-path")
     for k, s in enumerate(rounds[:-1]):
         up = s.filter("up is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         higher = path.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select(
             "tree", "leaf", "rank", "branch_score", (F.col("pos") - 2**k).alias("pos"), F.col("up").alias("node")
         )
-        path = path.union(higher)
+        path = written(path.union(higher), "chat-path")  # cut each round: the plan would double
     body = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     return path.join(body, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select(
         "tree", "leaf", "rank", "branch_score", "pos", "role", "text"
