@@ -1,12 +1,72 @@
-"""The training-text pipeline: language, toxicity, near-duplicates, mixing, encoding."""
+"""The training-text pipeline: language, toxicity, near-duplicates, mixing, encoding.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but
+the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet to the
+shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, language, mixing, set_join, toxicity
+from millrace.llm.common import work_dir, written
+from millrace.llm.queries import MIX_TARGETS, labelled_domains, table, tokenizer_file
+
+#: A language prediction below this score is rejected.
+LEAST_LANGUAGE_SCORE = 0.2
+#: A toxicity score from here on is rejected.
+TOXIC_SCORE = 0.7
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of the learned ones; texts without letters go."""
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    if not model.languages:
+        return docs
+    return language.keep(docs, model, LEAST_LANGUAGE_SCORE)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels, scores below the threshold."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.keep(docs, model, TOXIC_SCORE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every class of near duplicates."""
+    groups = written(set_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    go = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as its fitted rate says."""
+    mixture, _ = mixing.fit(docs.select("doc_id", "text"), labelled_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.resample(docs, mixture)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every kept document."""
+    return bpe.encode_documents(docs, tokenizer_file("byte_bpe_50k.json"), digests_only=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("language id", keep_known_language),
+    ("toxicity", drop_toxic),
+    ("n-gram jaccard join", one_of_each_group),
+    ("mixing to target weights", mix_to_targets),
+    ("bpe encoding", encode),
+]
+#: No SQL can express the learned stages; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = work_dir(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

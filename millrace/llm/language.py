@@ -195,3 +195,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
+
+
+def keep(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """Rows of ``docs`` in a learned language with a score of at least ``least``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

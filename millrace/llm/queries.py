@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, language, order_minhash, set_join, token_files, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, language, mixing, order_minhash, set_join, token_files, toxicity, url_filter
 from .common import work_dir, written
 
 QUERIES: dict = {}
@@ -188,3 +188,23 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced-boundary BPE of every text: counts and digests of ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, tokenizer_file("byte_bpe_50k.json"), digests_only=True)
+
+
+#: Shares of all tokens asked of the labelled domains.
+MIX_TARGETS = {"good": 0.88, "poor": 0.08, "toxic": 0.04}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table as (doc_id, domain)."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring expected domain tokens to their targets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixture, posteriors = mixing.fit(docs, labelled_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+    found = mixing.rates(posteriors, mixture)
+    each = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixture.model.domains)]
+    return found.select("doc_id", "n_tokens", *each, "rate", "copies")

@@ -364,3 +364,17 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
                 )
 
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
+                yield some.filter(pa.array(shared.value.scores(some.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
