@@ -51,18 +51,28 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
         m.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
         .select("tree", "node", F.col("n2").alias("up"), "score", F.when(F.col("n2").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     )
-    rounds = [written(links, "chat-up")]
-    nodes_most = rounds[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** (len(rounds) - 1) <= nodes_most and rounds[-1].filter("up is not null").limit(1).count():
-        s = rounds[-1]
-        a = s.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("k2"))
-        nxt = s.join(a, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-            (F.col("steps") + F.coalesce("k2", F.lit(0).cast("long"))).alias("steps"),
+    first = written(links, "chat-up")
+    nodes_most = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    # ``rounds`` keeps the messages whose pointer has not passed their root; the others are done.
+    rounds, done = [first.filter("up is not null")], [first.filter("up is null")]
+    while 2 ** (len(rounds) - 1) <= nodes_most and rounds[-1].limit(1).count():
+        s, ended = rounds[-1], done[0]
+        for more in done[1:]:
+            ended = ended.union(more)
+        ahead = s.union(ended).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("steps").alias("k2"))
+        nxt = written(
+            s.join(ahead, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2"))).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("steps") + F.col("k2")).alias("steps")
+            ),
+            "chat-up",
         )
-        rounds.append(written(nxt, "chat-up"))
-    parents = rounds[0].filter("up is not null").select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
-    leaves = rounds[-1].filter("up is null").join(
+        rounds.append(nxt.filter("up is not null"))
+        done.append(nxt.filter("up is null"))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.union(more)
+    parents = rounds[0].select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
+    leaves = whole.join(
         parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti"
     )
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "node")
@@ -70,7 +80,7 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("branch_score"), F.col("steps").alias("pos"), "node")
     path = written(path, "chat-path")
     for k, s in enumerate(rounds[:-1]):
-        up = s.filter("up is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+        up = s.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         higher = path.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select(
             "tree", "leaf", "rank", "branch_score", (F.col("pos") - 2**k).alias("pos"), F.col("up").alias("node")
         )
