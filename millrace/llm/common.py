@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,16 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan refers to, before more are written.
+
+    Call it when the frames that led to a written table have gone out of scope.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1.5)  # the cleaner works in the background
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every node of an undirected edge list.
 

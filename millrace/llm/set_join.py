@@ -1,17 +1,18 @@
 """N-gram Jaccard join by set-relation skipping.
 
 A document's set is its distinct word shingles. Every pair of similar sets shares a token among
-their first tokens in one global order (tokens that only one set holds come first, then the order
-of the hash), so inverted lists over those prefixes reach all links. Two skips keep the work linear
-in practice and the answer exact:
-
-* lists hold (size, position) of each set, are ordered by size, and are entered at the block of
-  sizes that can still reach the threshold; within it a set is skipped by position when the rest of
-  either set is too short;
-* answers are derived from a similar set: each set is first compared with one pivot, the set that
-  leads most of its lists. Sets already joined to one class through pivots are not compared again,
-  and of the others a pair with a common pivot is accepted or skipped from the two known overlaps
-  (``|y&p| + |z&p| - |p|`` below, ``min(|y&p|, |z&p|) + min(|y-p|, |z-p|)`` above) where they decide.
+their first tokens in one global order (tokens that only one set holds, then rare ones in the order
+of the hash, then frequent ones by how many sets hold them), so inverted lists over those prefixes
+reach all links. Two skips keep the work small and the answer exact:
+
+* lists are ordered by set size. Neighbours of a list within reach of each other by size are chained,
+  not paired; the chains' components bound where links can be. A component is compared in one task,
+  or, when large, in blocks by size, where blocks out of reach of each other are skipped;
+* inside a task a set's intersections with all others are derived from those of the set before it,
+  by taking away the lists of the tokens it lacks and adding those of its new ones, when that is
+  less than its own lists; sets are visited along chains of similar ones.
+
+Pairs never leave a task: it emits one row for each set, its class among the task's sets.
 
 What moves: tokens go once to the task of their hash range, 5 bytes each (with the range number,
 40 bits and more), and only those that several sets hold come back to their documents. A token that
@@ -33,13 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_written, written
+from .common import connected_components, drop_written, release_shuffles, written
 
 MEMO_ENTRIES = 700_000
 BATCH_TOKENS = 1_500_000
 _B, _M2, _M3 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Leaders tried in a list when pivots are chosen; the exact comparison does not depend on it.
-LEADERS = 16
 _WORDS: dict[bytes, int] = {}
 
 
@@ -83,11 +82,6 @@ def unpack5(raw: bytes, high: int) -> np.ndarray:
     return out.view("<u8").ravel() | np.uint64(high << 40)
 
 
-def need(n1, n2, num: int, den: int):
-    """Smallest intersection that links sets of these sizes: den * i >= num * (n1 + n2 - i)."""
-    return -(-(num * (n1 + n2)) // (den + num))
-
-
 _ROWS = "kind int, bucket int, ids binary, counts binary, data binary, doc_id bigint, n int, fp binary, own bigint"
 _NAMES = [f.split()[0] for f in _ROWS.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
@@ -228,171 +222,210 @@ def _gather(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield close(held)
 
 
-def _post(batches: Iterator[pa.RecordBatch], num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Prefix entries of sets for list buckets: rep, n, token, position; with class, pivot, overlap."""
+_ENTRY = np.dtype([("t", "<u8"), ("s", "<i4")])
+#: Most tokens whose frequency is broadcast (16 bytes each): a token counts as frequent when more than
+#: the ``FREQUENT``-th part of all tokens, and at least 32, sets hold it, so there are no more of them.
+FREQUENT = 500_000
+#: Tokens of a block of sets that is compared in one task.
+BLOCK_TOKENS = 400_000
+
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch hold each token, for the buckets."""
     for batch in batches:
-        rep, n, cls, pivot, over, pn = (batch.column(i).to_numpy(zero_copy_only=False).astype("<i8") for i in (0, 1, 3, 4, 5, 6))
-        tokens, owner, place = [], [], []
+        raw = [r for r in batch.column(0).to_pylist() if r]
+        if not raw:
+            continue
+        t, n = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_counts=True)
+        b = (mix(t) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        edges = np.searchsorted(b[order], np.arange(buckets + 1))
+        at = np.flatnonzero(np.diff(edges)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(at, pa.int32()), pa.array([t[order[edges[k] : edges[k + 1]]].tobytes() for k in at], pa.binary()),
+                pa.array([n[order[edges[k] : edges[k + 1]]].astype("<i4").tobytes() for k in at], pa.binary()),
+            ],
+            names=["bucket", "t", "n"],
+        )
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
+    """Rows of each run of equal first column."""
+    held, now = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != now:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for _, rows in _runs(batches):
+        t, at = np.unique(np.concatenate([np.frombuffer(r[1], "<u8") for r in rows]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([np.frombuffer(r[2], "<i4") for r in rows])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(t[n > least].astype(np.int64)), pa.array(n[n > least])], names=["t", "df"])
+
+
+def _post(batches: Iterator[pa.RecordBatch], num: int, den: int, buckets: int, hot: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Prefix entries of sets (rep, n, tokens) for list buckets."""
+    for batch in batches:
+        rep, n = (batch.column(i).to_numpy(zero_copy_only=False).astype("<i8") for i in (0, 1))
+        tokens, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for i, raw in enumerate(batch.column(2).to_pylist()):
             t = np.frombuffer(raw, "<u8")
-            alone = int(n[i]) - len(t)
-            k = max(0, int(n[i]) - -(-num * int(n[i]) // den) + 1 - alone)
+            k = max(0, int(n[i]) - -(-num * int(n[i]) // den) + 1 - (int(n[i]) - len(t)))
+            if k < len(t) and len(hot):
+                at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+                weight = np.where(hot[at] == t, df[at], 0)
+                t = t[np.argsort(weight, kind="stable")]  # rare ones keep the order of the hash
             tokens.append(t[:k])
-            owner.append(np.full(k, i))
-            place.append(alone + np.arange(k))
-        if not tokens:
-            continue
-        t, o, p = np.concatenate(tokens), np.concatenate(owner).astype(int), np.concatenate(place)
+            owner.append(np.full(min(k, len(t)), i))
+        t, o = np.concatenate(tokens), np.concatenate(owner)
         b = (mix(t) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         edges = np.searchsorted(b[order], np.arange(buckets + 1))
         out = []
         for k in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[k] : edges[k + 1]]
-            x = o[at]
-            used, inverse = np.unique(x, return_inverse=True)
-            sets = np.vstack([rep[used], n[used], cls[used], pivot[used], over[used], pn[used]]).astype("<i8")
-            entries = np.rec.fromarrays([t[at], inverse, p[at]], dtype=_ENTRY)
-            out.append((k, sets.tobytes(), entries.tobytes()))
+            used, inverse = np.unique(o[at], return_inverse=True)
+            out.append((k, np.vstack([rep[used], n[used]]).astype("<i8").tobytes(), np.rec.fromarrays([t[at], inverse], dtype=_ENTRY).tobytes()))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())],
             names=["bucket", "sets", "entries"],
         )
 
 
-_ENTRY = np.dtype([("t", "<u8"), ("s", "<i4"), ("p", "<i4")])
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest connected index of every one of ``n`` nodes."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(n)], dtype=np.int64)
 
-def _lists(batches: Iterator[pa.RecordBatch]):
-    """For each bucket: set attributes and (token, set, position) of all entries."""
 
-    def close(rows):
+def _chains(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Neighbours by size in each list, within reach of each other, as one tree for each bucket."""
+    for _, rows in _runs(batches):
         sets, entries, base = [], [], 0
-        for s, e in rows:
-            s, e = np.frombuffer(s, "<i8").reshape(6, -1), np.frombuffer(e, _ENTRY).copy()
+        for _, s, e in rows:
+            s, e = np.frombuffer(s, "<i8").reshape(2, -1), np.frombuffer(e, _ENTRY).copy()
             e["s"] += base
             base += s.shape[1]
             sets.append(s)
             entries.append(e)
-        return np.hstack(sets), np.concatenate(entries)
-
-    held, now = [], None
-    for batch in batches:
-        for b, s, e in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != now and held:
-                yield close(held)
-                held = []
-            now = b
-            held.append((s, e))
-    if held:
-        yield close(held)
-
-
-def _walk(sets: np.ndarray, e: np.ndarray):
-    """Lists of two sets and more, each ordered by size: indices of sets and positions."""
-    size = sets[1][e["s"]]
-    order = np.lexsort((e["s"], size, e["t"]))
-    e = e[order]
-    starts = np.flatnonzero(np.r_[True, e["t"][1:] != e["t"][:-1]])
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(e)]):
-        if b - a > 1:
-            yield e["s"][a:b].astype(np.int64), e["p"][a:b].astype(np.int64)
-
-
-def _reachable(n1, p1, n2, p2, num: int, den: int):
-    """Whether two entries of a list can still link, by size and position."""
-    least = need(n1, n2, num, den)
-    return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= least)
-
-
-def _vote(batches: Iterator[pa.RecordBatch], num: int, den: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(set, pivot, votes): in each list the set of smallest priority leads those it can link with."""
-    for sets, e in _lists(batches):
-        rep, n, cls = sets[0], sets[1], sets[2]
-        rank = mix(rep.astype(np.uint64) ^ np.uint64(seed * 7919 + 1))
-        follow, lead = [], []
-        for s, p in _walk(sets, e):
-            left = np.arange(len(s))
-            for _ in range(LEADERS):
-                if len(left) < 2:
-                    break
-                k = left[np.argmin(rank[s[left]])]
-                # Entering the block of sizes within reach of the leader.
-                lo = np.searchsorted(n[s[left]], -(-num * n[s[k]] // den))
-                hi = np.searchsorted(n[s[left]], den * n[s[k]] // num, side="right")
-                block = left[lo:hi]
-                hit = block[_reachable(n[s[k]], p[k], n[s[block]], p[block], num, den) & (cls[s[block]] != cls[s[k]])]
-                follow.append(s[hit])
-                lead.append(np.full(len(hit), s[k]))
-                left = np.setdiff1d(left, np.append(hit, k), assume_unique=True)
-        if follow and sum(map(len, follow)):
-            f, l = np.concatenate(follow), np.concatenate(lead)
-            pair, votes = np.unique(f * len(rep) + l, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[pair // len(rep)]), pa.array(rep[pair % len(rep)]), pa.array(votes.astype(np.int64))], names=["y", "x", "votes"]
-            )
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes that no skip decides (linked false), and links derived from pivots (linked true)."""
-    for sets, e in _lists(batches):
-        rep, n, cls, pivot, over, pn = sets
-        found = [np.empty((2, 0), np.int64)]
-        pending = 0
-        for s, p in _walk(sets, e):
-            if (cls[s] == cls[s[0]]).all():
-                continue
-            for k in range(len(s) - 1):  # each set against those after it, up to the last size within reach
-                hi = np.searchsorted(n[s], den * n[s[k]] // num, side="right")
-                rest = np.arange(k + 1, hi)
-                rest = rest[cls[s[rest]] != cls[s[k]]]
-                rest = rest[_reachable(n[s[k]], p[k], n[s[rest]], p[rest], num, den)]
-                if len(rest):
-                    a, b = np.full(len(rest), s[k]), s[rest]
-                    found.append(np.vstack([np.minimum(a, b), np.maximum(a, b)]))
-                    pending += len(rest)
-            if pending > 2_000_000:  # repeated pairs of a bucket collapse
-                found, pending = [np.unique(np.hstack(found), axis=1)], 0
-        a, b = np.unique(np.hstack(found), axis=1)
-        least = need(n[a], n[b], num, den)
-        same = (pivot[a] == pivot[b]) & (pivot[a] >= 0)
-        low = over[a] + over[b] - pn[a]
-        high = np.minimum(over[a], over[b]) + np.minimum(n[a] - over[a], n[b] - over[b])
-        # The pivot itself has the whole of its set in common with itself.
-        linked, skipped = same & (low >= least), same & (high < least)
-        keep = ~skipped
-        for k in range(0, int(keep.sum()), 50_000):
-            at = np.flatnonzero(keep)[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a[at]]), pa.array(rep[b[at]]), pa.array(linked[at])], names=["y", "x", "linked"])
-
-
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        y, x, ny, nx = (batch.column(i) for i in range(4))
-        over = [
-            len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays([y, x, ny, nx, pa.array(over, pa.int64())], names=["y", "x", "ny", "nx", "over"])
+        s, e = np.hstack(sets), np.concatenate(entries)
+        rep, own = np.unique(s[0], return_inverse=True)
+        size = np.zeros(len(rep), np.int64)
+        size[own] = s[1]
+        x = own[e["s"]]
+        order = np.lexsort((x, size[x], e["t"]))
+        x, t = x[order], e["t"][order]
+        near = (t[1:] == t[:-1]) & (den * size[x[:-1]] >= num * size[x[1:]]) & (x[1:] != x[:-1])
+        pair = np.unique(np.minimum(x[:-1], x[1:])[near] * len(rep) + np.maximum(x[:-1], x[1:])[near])
+        root = _forest(pair // len(rep), pair % len(rep), len(rep))
+        at = np.flatnonzero(root != np.arange(len(rep)))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[root[at]])], names=["a", "b"])
+
+
+def link_block(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Smallest linked index of each set of a block, over all links among them."""
+    m = len(sizes)
+    known, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    ends = np.cumsum([len(t) for t in tokens])
+    mine = np.split(flat, ends[:-1])
+    owner = np.repeat(np.arange(m), [len(t) for t in tokens])
+    by = np.argsort(flat, kind="stable")
+    lists, starts = owner[by], np.searchsorted(flat[by], np.arange(len(known) + 1))
+
+    def add(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        if not len(ids):
+            return counts
+        return counts + np.bincount(np.concatenate([lists[starts[i] : starts[i + 1]] for i in ids.tolist()]), minlength=m)
+
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    left = np.ones(m, dtype=bool)
+    inside = np.zeros(len(known), dtype=bool)
+    k, before, counts = 0, None, np.zeros(m, np.int64)
+    for _ in range(m):
+        left[k] = False
+        if before is not None:
+            inside[:] = False
+            inside[mine[before]] = True
+            new = mine[k][~inside[mine[k]]]
+            inside[mine[k]] = False
+            gone = mine[before][inside[mine[before]]]
+        if before is not None and len(new) + len(gone) < len(mine[k]):
+            counts = add(counts, new) - add(np.zeros(m, np.int64), gone)  # derived from the set before
+        else:
+            counts = add(np.zeros(m, np.int64), mine[k])
+        hit = np.flatnonzero(counts * (num + den) >= num * (sizes[k] + sizes))
+        hit = hit[hit != k]
+        a.append(np.full(len(hit), k))
+        b.append(hit)
+        before = k
+        rest = hit[left[hit]]
+        # Next the unseen set that shares most with this one, else any other.
+        k = int(rest[np.argmax(counts[rest])]) if len(rest) else int(np.argmax(left))
+    a, b = np.concatenate(a), np.concatenate(b)
+    return _forest(a[a < b], b[a < b], m)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rep, n, tokens) of each block to (a, b): a set and the first set of its class there."""
+    for _, rows in _runs(batches):
+        if len(rows) < 2:
+            continue
+        rows.sort(key=lambda r: (r[2], r[1]))
+        rep = np.array([r[1] for r in rows], np.int64)
+        root = link_block(np.array([r[2] for r in rows], np.int64), [np.frombuffer(r[3], "<u8") for r in rows], num, den)
+        at = np.flatnonzero(root != np.arange(len(rep)))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[root[at]])], names=["a", "b"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact intersections: y, x, ny, nx, over. Joined set by set; Spark splits skewed sides."""
-    a = sets.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    b = sets.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    rows = pairs.join(a, "y").join(b, "x").select("y", "x", "ny", "nx", "ty", "tx")
-    return rows.mapInArrow(_overlap, "y bigint, x bigint, ny bigint, nx bigint, over bigint")
+def _blocks(sets: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, rep, n, tokens): each set in every block of its component that it has to be compared in.
 
+    A small component is one block. In a large one sets are dealt to classes of size, a class
+    spanning the ratio that still can link, and by hash to chunks of ``BLOCK_TOKENS``; chunks of one
+    class or of neighbouring classes are paired, all others are out of reach.
 
-def jaccard_components(
-    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row with an id.
-
-    Two documents link when ``den * |a & b| >= num * |a | b|``.
+    The keys are made from sizes alone; the tokens are joined to them once.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    w = F.col("w")
+    lean = sets.select("rep", "n", (F.octet_length("tokens") / 8).alias("w"))
+    lean = lean.join(near.select(F.col("id").alias("rep"), F.col("component_id").alias("component")), "rep")
+    total = lean.groupBy("component").agg(F.sum(w).alias("all"), F.count("*").alias("m")).filter("m > 1")
+    lean = lean.join(total, "component")
+    small = lean.filter(F.col("all") <= BLOCK_TOKENS).select("rep", F.col("component").cast("string").alias("key"))
+    large = lean.filter(F.col("all") > BLOCK_TOKENS).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
+    chunks = large.groupBy("component", "c").agg(F.ceil(F.sum(w) / BLOCK_TOKENS).cast("int").alias("k"))
+    mine = large.join(chunks, ["component", "c"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    # Chunks of the classes next to a set's own: the set meets each of them in a block of its own.
+    steps = mine.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("d", F.col("c") + F.col("step"))
+    near = chunks.select("component", F.col("c").alias("d"), F.col("k").alias("other"))
+    paired = steps.join(near, ["component", "d"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    own, far = F.struct(F.col("c").alias("c"), F.col("i").alias("i")), F.struct(F.col("d").alias("c"), F.col("j").alias("i"))
+    low, high = F.least(own, far), F.greatest(own, far)
+    keys = small.union(paired.select("rep", F.concat_ws(":", "component", low["c"], low["i"], high["c"], high["i"]).alias("key")).distinct())
+    return keys.join(sets.select("rep", "n", "tokens"), "rep").select("key", "rep", "n", "tokens")
+
+
+def _every(d: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, fp, tokens): written; ``tokens`` holds what other sets have too, null where no link is possible."""
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(20, max(4, int(chars / 6 / 1_000_000).bit_length()))
     back_bits = min(20, max(4, bits - 1))
@@ -407,44 +440,58 @@ def jaccard_components(
         .mapInArrow(lambda it: _gather(it, num, den), _ROWS)
         .select("doc_id", "n", "fp", F.col("data").alias("tokens"))
     )
-    every = written(gathered, "sets")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files that no plan needs any more
+    return written(gathered, "sets")
+
+
+def _chained(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component_id) of sets that chains of list neighbours connect."""
+    spark = sets.sparkSession
+    total = (sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8
+    buckets = max(8, total // 4 // 500_000 + 1)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+    counted = sets.select("tokens").mapInArrow(lambda it: _count(it, buckets), "bucket int, t binary, n binary")
+    least = max(32, total // FREQUENT)
+    hot = dealt(counted).mapInArrow(lambda it: _frequent(it, least), "t bigint, df bigint").toPandas()
+    hot_t, hot_df = hot["t"].to_numpy().astype(np.int64).view(np.uint64), hot["df"].to_numpy()
+    order = np.argsort(hot_t)
+    frequent = spark.sparkContext.broadcast((hot_t[order], hot_df[order]))
+    posted = sets.select("rep", "n", "tokens").mapInArrow(lambda it: _post(it, num, den, buckets, *frequent.value), "bucket int, sets binary, entries binary")
+    return written(connected_components(dealt(posted).mapInArrow(lambda it: _chains(it, num, den), "a bigint, b bigint")), "chains")
+
+
+def _linked(sets: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component_id) of sets over their exact links."""
+    blocks = _blocks(sets, near, num, den).repartition("key").sortWithinPartitions("key")
+    return written(connected_components(blocks.mapInArrow(lambda it: _compare(it, num, den), "a bigint, b bigint")), "classes")
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row with an id.
+
+    Two documents link when ``den * |a & b| >= num * |a | b|``.
+    """
+    spark = docs.sparkSession
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    full = _every(d, words, num, den)
+    release_shuffles(spark)
     sets = written(
-        every.filter("tokens is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("s"))
+        full.filter("tokens is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("s"))
         .select("fp", F.col("s.doc_id").alias("rep"), F.col("s.n").cast("long").alias("n"), "s.tokens"),
         "reps",
     )
-    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    buckets = max(8, int(total / 8 / 4 / 500_000) + 1)
-
-    def listed(state: DataFrame) -> DataFrame:
-        rows = state.select("rep", "n", "tokens", "cls", "pivot", "over", "pn")
-        posted = rows.mapInArrow(lambda it: _post(it, num, den, buckets), "bucket int, sets binary, entries binary")
-        return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-    nothing = F.lit(-1).cast("long")
-    start = sets.select("rep", "n", "tokens", F.col("rep").alias("cls"), nothing.alias("pivot"), nothing.alias("over"), nothing.alias("pn"))
-    votes = listed(start).mapInArrow(lambda it: _vote(it, num, den, 1), "y bigint, x bigint, votes bigint")
-    pivots = votes.groupBy("y", "x").agg(F.sum("votes").alias("v")).groupBy("y").agg(F.max(F.struct("v", (-F.col("x")).alias("x"))).alias("m"))
-    checked = written(_verify(pivots.select("y", (-F.col("m.x")).alias("x")), sets), "pivots")
-    linked = (den * F.col("over")) >= (num * (F.col("ny") + F.col("nx") - F.col("over")))
-    edges = checked.filter(linked).select(F.col("y").alias("a"), F.col("x").alias("b"))
-    classes = written(connected_components(edges), "classes")
-    known = checked.select(F.col("y").alias("rep"), F.col("x").alias("pivot"), "over", F.col("nx").alias("pn"))
-    leaders = checked.select(F.col("x").alias("rep"), F.col("x").alias("pivot"), F.col("nx").alias("over"), F.col("nx").alias("pn")).distinct()
-    known = known.union(leaders.join(known.select("rep"), "rep", "left_anti"))
-    state = (
-        sets.select("rep", "n", "tokens")
-        .join(classes.select(F.col("id").alias("rep"), F.col("component_id").alias("cls")), "rep", "left")
-        .join(known, "rep", "left")
-        .select("rep", "n", "tokens", F.coalesce("cls", "rep").alias("cls"), *(F.coalesce(c, nothing).alias(c) for c in ("pivot", "over", "pn")))
-    )
-    rest = written(listed(state).mapInArrow(lambda it: _pairs(it, num, den), "y bigint, x bigint, linked boolean").distinct(), "pairs")
-    more = _verify(rest.filter("not linked").select("y", "x"), sets).filter(linked).select(F.col("y").alias("a"), F.col("x").alias("b"))
-    more = more.union(rest.filter("linked").select(F.col("y").alias("a"), F.col("x").alias("b")))
+    every = written(full.drop("tokens"), "documents")
+    drop_written(spark, full)
+    near = _chained(sets, num, den)
+    release_shuffles(spark)
+    roots = _linked(sets, near, num, den)
+    release_shuffles(spark)
     # Equal sets join through their first document.
     firsts = every.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = written(connected_components(classes.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more)), "classes")
     of_fp = (
         firsts.join(sets.select("fp", "rep"), "fp", "left").join(roots, F.col("rep") == F.col("id"), "left")
         .select("fp", "first", F.coalesce("component_id", "rep").alias("root"))
