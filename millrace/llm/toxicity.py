@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 ORDER, DECAY, WINDOW = 3, 0.6, 20
 SIZES = (4, 5, 6, 7, 8)  # of the marking n-grams, word marks included
 MEMO_ENTRIES = 700_000
-#: Decision value of a word without evidence.
-NONE = -2.0
+#: Decision value of a word without evidence, and the value beyond which more is no more evidence.
+NONE, SURE = -2.0, 2.0
 _INNER = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\w\W{0,2}\s+){3,}\w(?!\w)")
 
@@ -197,7 +197,7 @@ class ToxicityModel:
             self._memo.update((t, -2.0) for w in plain if len(w) < ORDER for t in plain[w])
             for w, f in zip(todo, self.svm.decide(todo).tolist()):
                 for t in plain[w]:
-                    self._memo[t] = max(-2.0, min(2.0, f))
+                    self._memo[t] = max(NONE, min(SURE, f))
         out = np.full((len(texts), 3), -2.0)
         for i, tokens in enumerate(listed):
             f = np.fromiter(map(self._memo.__getitem__, tokens), np.float64, len(tokens))
@@ -230,6 +230,27 @@ def _unlike(rows: list[tuple[str, int]]) -> list[tuple[set[str], str, int]]:
     return out
 
 
+def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word number, start, size) of every marking n-gram of words of the kernel's order and longer."""
+    at = [i for i, w in enumerate(words) if ORDER <= len(w) <= WINDOW]
+    none = np.empty(0, np.int64)
+    if not at:
+        return np.empty(0, np.uint64), none, none, none
+    c = encode_words([words[i] for i in at], max(len(words[i]) for i in at) + 2, 0).astype(np.uint64)
+    h, out = np.zeros_like(c), []
+    with np.errstate(over="ignore"):
+        for n in range(1, SIZES[-1] + 1):
+            if n > len(c):
+                break
+            h = h[: len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(n)
+            if n in SIZES:
+                start, word = np.nonzero(c[n - 1 :])
+                mixed = h[start, word]
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append((mixed, np.array(at)[word], start, np.full(len(start), n)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), none, none, none)
+
+
 def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> ToxicityModel:
     """Fit on (text, toxic) rows."""
     rng = np.random.default_rng(seed)
@@ -238,46 +259,52 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
     if not sides[0] or not sides[1]:
         return ToxicityModel(None)
 
-    def grams(words: set[str]) -> set[str]:
-        return {m[i : i + n] for w in words if len(w) >= ORDER for m in (f"^{w}$",) for n in SIZES for i in range(len(m) - n + 1)}
-
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     held: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    of: list[set[str]] = []  # n-grams of each toxic document
+    of: list[np.ndarray] = []  # n-gram hashes of each toxic document
     for words, _, y in docs:
         held[y].update(words)
         if y:
-            of.append(grams(words))
-            seen[1].update(of[-1])
-    wanted = {g for g, c in seen[1].items() if c >= 2}
+            of.append(np.unique(gram_hashes(sorted(words))[0]))
+    known, held_by = np.unique(np.concatenate(of), return_counts=True)
+    known, held_by = known[held_by >= 2], held_by[held_by >= 2]
+    clean_by = np.zeros(len(known), np.int64)
     for words, _, y in docs:
-        if not y:
-            seen[0].update(g for g in grams(words) if g in wanted)
-
-    def odds(g: str) -> float:
-        a, c = seen[1][g], seen[0][g]
-        return float(np.log((a - 0.9) / sides[1]) - np.log((c + 0.5) / (sides[0] + 1)))
-
-    weight = {g: v for g in wanted if (v := odds(g)) > 1.0}
+        if not y and len(known):
+            h = np.unique(gram_hashes(sorted(words))[0])
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            clean_by[at[known[at] == h]] += 1
+    odds = np.log((held_by - 0.9) / sides[1]) - np.log((clean_by + 0.5) / (sides[0] + 1))
 
     # Stems: n-grams that cover toxic documents not covered twice yet, the surest first.
-    where: dict[str, list[int]] = {}
-    for i, gs in enumerate(of):
-        for g in gs:
-            if g in weight:
-                where.setdefault(g, []).append(i)
+    best = np.argsort(-odds * held_by * (odds > 1.0), kind="stable")[:4000]
+    best = best[odds[best] > 1.0]
+    value = {int(known[i]): float(odds[i]) for i in best}
+    wanted = np.sort(known[best])
+    where: dict[int, list[int]] = {}
+    text_of: dict[int, str] = {}
+    toxic_words = [sorted(words) for words, _, y in docs if y]
+    for i, h in enumerate(of):
+        common = np.intersect1d(h, wanted, assume_unique=True).tolist()
+        for g in common:
+            where.setdefault(g, []).append(i)
+        if any(g not in text_of for g in common):
+            h, word, start, size = gram_hashes(toxic_words[i])
+            for k in np.flatnonzero(np.isin(h, np.array(common, np.uint64))).tolist():
+                text_of.setdefault(int(h[k]), f"^{toxic_words[i][word[k]]}$"[start[k] : start[k] + size[k]])
+    weight = {text_of[g]: v for g, v in value.items() if g in text_of}
+    where = {text_of[g]: at for g, at in where.items()}
     left = np.full(len(of), 2)
     stems: list[str] = []
     half = 2 * landmarks // 3
-    ranked = sorted(where, key=lambda g: (-weight[g] * len(where[g]), -len(g), g))[:4000]
+    ranked = sorted(where, key=lambda g: (-weight[g] * len(where[g]), -len(g), g))
     while len(stems) < half and ranked:
-        gain = {g: sum(left[i] > 0 for i in where[g]) * weight[g] for g in ranked}
-        best = max(ranked, key=lambda g: (gain[g], len(g), g))
-        if gain[best] < 2.0:
+        gain = {g: int((left[where[g]] > 0).sum()) * weight[g] for g in ranked}
+        top = max(ranked, key=lambda g: (gain[g], len(g), g))
+        if gain[top] < 2.0:
             break
-        stems.append(best)
-        left[where[best]] -= 1
-        ranked = [g for g in ranked if gain[g] > 0 and g != best and g not in best][:600]
+        stems.append(top)
+        left[where[top]] -= 1
+        ranked = [g for g in ranked if gain[g] > 0 and g != top and g not in top][:1500]
 
     def mark(w: str) -> float:
         m = f"^{w}$"
@@ -306,11 +333,12 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
         at = 1 + int(rng.integers(len(w) - 1))
         return w[:at] + "abcdefghijklmnopqrstuvwxyz0123456789"[int(rng.integers(36))] + w[at:]
 
-    inserted = [gapped(w) for w in positive[:300] if len(w) < WINDOW]
-    some = positive + inserted
+    # Words with a letter put in; more of them for the words that mark most documents.
+    inserted = [(gapped(w), w, k) for i, w in enumerate(positive[:300]) if len(w) < WINDOW for k in [8 if i < 40 else 1] for _ in range(k)]
+    some = positive + [g for g, _, _ in inserted]
     features = svm.similarity(some + negative).astype(np.float64)
     y = np.r_[np.ones(len(some)), -np.ones(len(negative))]
-    support = np.array([held[1][w] for w in positive] + [0.3 * held[1][w] for w in positive[:300] if len(w) < WINDOW], float)
+    support = np.array([held[1][w] for w in positive] + [held[1][w] / k for _, w, k in inserted], float)
     cost = np.r_[support / support.sum(), np.full(len(negative), 1.0 / len(negative))]
     svm.fit(features, y, cost)
     others = close[2500:14500]
@@ -334,7 +362,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> ToxicityModel:
     """Fit on labelled rows of ``docs`` (doc_id, text), at most ``max_docs`` for each class."""
     y = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").join(y, "doc_id")
