@@ -227,7 +227,7 @@ _ENTRY = np.dtype([("t", "<u8"), ("s", "<i4")])
 #: the ``FREQUENT``-th part of all tokens, and at least 32, sets hold it, so there are no more of them.
 FREQUENT = 500_000
 #: Tokens of a block of sets that is compared in one task.
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 1_000_000
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -346,10 +346,12 @@ def link_block(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int)
     m = len(sizes)
     known, flat = np.unique(np.concatenate(tokens), return_inverse=True)
     ends = np.cumsum([len(t) for t in tokens])
+    flat = flat.astype(np.int32)
     mine = np.split(flat, ends[:-1])
-    owner = np.repeat(np.arange(m), [len(t) for t in tokens])
     by = np.argsort(flat, kind="stable")
-    lists, starts = owner[by], np.searchsorted(flat[by], np.arange(len(known) + 1))
+    lists = np.repeat(np.arange(m, dtype=np.int32), [len(t) for t in tokens])[by]
+    starts = np.r_[0, np.cumsum(np.bincount(flat, minlength=len(known)))]
+    del by
 
     def add(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         if not len(ids):
