@@ -11,13 +11,15 @@ Bounds: the classifier reads at most ``per_domain`` labelled documents of each d
 the smallest hash of their id). All documents are classified whole and get a rate.
 Defined results: null and empty texts have no tokens and the prior's posterior; without labels the
 result is one domain ``all``; labels of unknown ids and null labels are ignored, an id labelled twice
-counts once for each domain; targets of unknown domains are an error, missing ones are 0; if the
+counts once for each domain; targets of domains that no label names are an error, missing ones are 0;
+a target whose labelled documents are all absent from ``docs`` is left out with a warning; if the
 targets can't be met, the rates are the least-squares fit. Repeated rows each get their rate.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -162,10 +164,15 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
 
     ``targets`` are weights of domains; they are scaled to sum to 1 and asked of the total of all tokens.
     """
+    named = {r["domain"] for r in labelled.filter("doc_id is not null and domain is not null").select("domain").distinct().collect()}
+    if named and set(targets) - named:
+        raise ValueError(f"targets of unknown domains: {sorted(set(targets) - named)}; labelled are {sorted(named)}")
     model = fit_domains(docs, labelled)
     k = len(model.domains)
-    if model.domains != ["all"] and set(targets) - set(model.domains) and not set(targets) & set(model.domains):
-        raise ValueError(f"no target is a known domain: {model.domains}")
+    if model.domains != ["all"] and set(targets) - set(model.domains):
+        if not set(targets) & set(model.domains):
+            raise ValueError(f"no target is a known domain: {model.domains}")
+        warnings.warn(f"no labelled document of {sorted(set(targets) - set(model.domains))} is left; the other targets are scaled to sum to 1")
     goal = np.array([targets.get(d, 1.0 if model.domains == ["all"] else 0.0) for d in model.domains])
     goal = goal / goal.sum()
     table = written(_posteriors(docs, model), "posteriors")
