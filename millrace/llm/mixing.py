@@ -3,9 +3,10 @@
 A softmax classifier, fitted on a labelled table, gives every document its posterior over domains.
 Nonnegative document rates are then fitted so that the expected tokens of each domain
 (``sum of rate * tokens * posterior``) match the targets: projected-gradient least squares, starting
-at rate 1. A rate depends on its document and on the steps taken alone, so a round is one
-aggregation of K + K*K numbers over the written posteriors, and nothing else moves; steps are scaled
-by the active documents' second moments, which makes few rounds suffice.
+at rate 1. A rate depends on its document and on the steps taken alone, so a round is one aggregation
+of K + K*K numbers for each length that is tried, over the written posteriors, and nothing else moves.
+Steps are implicit (the gradient is the one at the rates they lead to), so that they can be long and
+few and still never raise the residual.
 
 Bounds: the classifier reads at most ``per_domain`` labelled documents of each domain (those with
 the smallest hash of their id). All documents are classified whole and get a rate.
@@ -159,7 +160,75 @@ def _posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return kept.mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<double>")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-7) -> tuple[Mixture, DataFrame]:
+def batch_sums(n: np.ndarray, p: np.ndarray, steps: list[np.ndarray], v: np.ndarray, d: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums over documents of ``n`` tokens and posteriors ``p``: their tokens, then for each length t the numbers of step v + t*d.
+
+    Those are the change of the step's objective against step v, the squared change of rates, the
+    squared rates, the domains' tokens, and the second moments of the documents with a rate.
+    """
+    before = Mixture(None, steps, None).rates(p)
+    a, b = before - p @ v, p @ d
+    old, out = np.maximum(0.0, a), [np.array([n.sum()])]
+    for t in lengths:
+        r = np.maximum(0.0, a - t * b)
+        out.append(np.array([n @ ((r - old) * (r + old)) / 2, n @ (r - before) ** 2, n @ (r * r)]))
+        out += [(r * n) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()]
+    return np.concatenate(out)
+
+
+def solve(sums, goal: np.ndarray, rounds: int, tolerance: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Steps of projected gradient to the least-squares rates, and what is left of the targets.
+
+    A step is implicit: ``v`` is the gradient at the rates it leads to, times its length 1/eps, so the
+    residual never rises however long it is. ``v`` minimises a convex function of K numbers,
+    ``eps/2 |v|^2 + goal.v + 1/2 sum of share * max(0, rate - posterior.v)^2``: Newton with a line search,
+    one pass for all its lengths. The steps end when the bound that the projected gradient sets on what
+    could still be gained is below tolerance.
+    """
+    k, lengths = len(goal), 0.5 ** np.arange(10)
+
+    def numbers(steps: list[np.ndarray], v: np.ndarray, d: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+        flat = sums(steps, v, d, lengths)
+        return float(flat[0]), flat[1:].reshape(len(lengths), -1) / max(flat[0], 1e-300)
+
+    zero = np.zeros(k)
+    total, first = numbers([], zero, zero, np.zeros(1))
+    if total <= 0:
+        return [], zero
+    have, moment = first[0, 3 : 3 + k], first[0, 3 + k :].reshape(k, k)
+    steps: list[np.ndarray] = []
+    eps, passes = 1e-6, 1
+    while (error := float((have - goal) @ (have - goal))) > tolerance**2:
+        v, moved, size = zero, 0.0, 1.0
+        start = have, moment
+        while passes < rounds:
+            gradient = eps * v + goal - have
+            if gradient @ gradient <= max(1e-6 * error * float(len(steps) > 0 or v.any()), (tolerance / 10) ** 2):
+                break
+            d = -np.linalg.solve(eps * np.eye(k) + moment, gradient)
+            _, got = numbers(steps, v, d, lengths)
+            passes += 1
+            change = got[:, 0] + eps * (lengths * (v @ d) + lengths**2 / 2 * (d @ d)) + lengths * (goal @ d)
+            t = int(np.argmin(change))
+            if change[t] >= 0:
+                break  # down to rounding
+            v = v + lengths[t] * d
+            moved, size, have, moment = float(got[t, 1]), float(got[t, 2]), got[t, 3 : 3 + k], got[t, 3 + k :].reshape(k, k)
+        after = float((have - goal) @ (have - goal))
+        if after >= error:
+            have, moment = start
+            break
+        steps.append(v)
+        if eps * np.sqrt(moved * max(size, 1.0)) <= 1e-4 * after + tolerance**2:
+            break
+        if passes >= rounds:
+            warnings.warn(f"the rates had not settled after {rounds} passes; squared residual {after:.3g}")
+            break
+        eps = max(eps / 10, 1e-12)
+    return steps, have - goal
+
+
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds: int = 100, tolerance: float = 1e-7) -> tuple[Mixture, DataFrame]:
     """Fit the rates; returns the mixture and the written table of (doc_id, n_tokens, posterior).
 
     ``targets`` are weights of domains; they are scaled to sum to 1 and asked of the total of all tokens.
@@ -177,42 +246,24 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
     goal = goal / goal.sum()
     table = written(_posteriors(docs, model), "posteriors")
     mixture = Mixture(model, [], np.zeros(k))
-    best, best_steps = np.inf, 0
 
-    def sums() -> tuple[np.ndarray, np.ndarray, float]:
-        steps = mixture.steps
+    def sums(steps: list[np.ndarray], v: np.ndarray, d: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        width = len(batch_sums(np.empty(0), np.empty((0, k)), steps, v, d, lengths))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(1 + k + k * k)
+            out = np.zeros(width)
             for b in batches:
                 n = b.column(0).to_numpy(zero_copy_only=False).astype(float)
-                p = b.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, k)
-                r = Mixture(None, steps, None).rates(p)
-                out[0] += n.sum()
-                out[1 : 1 + k] += (r * n) @ p
-                out[1 + k :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
+                out += batch_sums(n, b.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, k), steps, v, d, lengths)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["i", "v"])
 
         got = table.select("n_tokens", "posterior").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        flat = np.zeros(1 + k + k * k)
+        flat = np.zeros(width)
         for row in got:
             flat[row["i"]] = row["v"]
-        return flat[1 : 1 + k], flat[1 + k :].reshape(k, k), float(flat[0])
+        return flat
 
-    for _ in range(rounds):
-        have, moment, total = sums()
-        if total <= 0:
-            break
-        mixture.residual = have / total - goal
-        error = float(mixture.residual @ mixture.residual)
-        if error < best - tolerance**2:
-            best, best_steps = error, len(mixture.steps)
-        elif len(mixture.steps) - best_steps > 4:
-            break
-        if error < tolerance**2:
-            break
-        mixture.steps.append(np.linalg.solve(moment / total + 1e-6 * np.eye(k), mixture.residual))
-    mixture.steps = mixture.steps[:best_steps]
+    mixture.steps, mixture.residual = solve(sums, goal, rounds, tolerance)
     return mixture, table
 
 
