@@ -37,10 +37,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every class of near duplicates."""
-    groups = written(set_join.jaccard_components(docs.select("doc_id", "text")), "groups")
-    go = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    """The document of smallest id of every class of near duplicates.
+
+    A document is an id with a text: repeated rows are one document, of which the smallest row stays;
+    an id on two texts is two documents. Null ids are grouped like others and come last in their class.
+    Texts without words are near nothing.
+    """
+    key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    keyed = docs.withColumn("_key", key)
+    groups = written(set_join.jaccard_components(keyed.select("_key", "text"), id_col="_key"), "groups")
+    rows = groups.groupBy(F.col("doc_id").alias("_key"), "component_id").agg(F.count("*").alias("n"))
+    named = rows.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
+    stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_key")).distinct()
+    # What does not just stay: keys to drop, and keys of repeated rows.
+    fate = rows.groupBy("_key").agg(F.sum("n").alias("n")).join(stay.withColumn("stays", F.lit(True)), "_key", "left")
+    fate = written(fate.select("_key", F.coalesce("stays", F.lit(False)).alias("stays"), "n").filter("not stays or n > 1"), "fates")
+    single = keyed.join(fate.select("_key"), "_key", "left_anti").select(*docs.columns)
+    again = fate.filter("stays")
+    if again.isEmpty():
+        return single
+    # Equal rows are taken together before they move.
+    repeated = keyed.join(again.select("_key"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.union(repeated.select("row.*"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
