@@ -4,13 +4,17 @@ The instance is a sentence, seen through its words: a sentence is as toxic as it
 word, and a document as its sentences. Words (with marks at both ends; inner punctuation removed;
 runs of single spaced letters joined) are compared by the gap-weighted subsequence kernel, so
 that ``idiot``, ``id-iot`` and ``idxiot`` share subsequences. Landmark words span the Nystroem
-feature space in which a linear SVM (squared hinge) is trained from labelled sentences: every
-sentence of a clean document is negative, and of a toxic document the words whose character
-n-grams mark toxic documents off from clean ones are its witnesses. A logistic function of a
-document's strongest words, fitted on the same labelled rows, gives the score.
+feature space in which a linear SVM (squared hinge) is trained. It sees words, not sentences: of a
+toxic document the words whose character n-grams (stems) mark toxic documents off from clean ones
+are positive, whole and with a letter put in; negative are the commonest words of clean documents
+and all their words close to a stem (others are no evidence whatever the fit). Stems, and landmarks
+with them, are added until every toxic row that holds a marking n-gram is covered. A logistic
+function of a document's strongest words gives the score; it is fitted on values of SVMs that have
+not seen the row (folds), on toxic rows both as they are and with inserted letters.
 
 Bounds: training reads at most ``max_docs`` labelled rows of each class (those with the smallest
-hash of their id). Scoring reads every whole text and has no limit; a long word is scored in
+hash of their id); stems are chosen among the ``candidates`` surest marking n-grams that two toxic
+rows hold; words of 3 to 20 characters train. Scoring reads every whole text and has no limit; a long word is scored in
 overlapping windows. Defined results: null and empty texts have no words and get the score of no
 evidence; without both classes in the labels the score is 0 for all; labels of unknown ids and
 null labels are ignored; an id labelled twice is toxic if one label says so. Repeated rows repeat.
@@ -214,22 +218,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _unlike(rows: list[tuple[str, int]]) -> list[tuple[set[str], str, int]]:
-    """Rows without near copies of earlier ones (any of four smallest word hashes in common)."""
-    import zlib
-
-    seen, out = set(), []
-    for text, toxic in rows:
-        words = {canonical(t) for t in tokens_of(text)} - {""}
-        hashes = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if len(w) > 7)
-        key = {(toxic, h, g) for h, g in zip(hashes[:4], hashes[1:5])}
-        if len(hashes) > 8 and key & seen:
-            continue
-        seen |= key
-        out.append((words, text, toxic))
-    return out
-
-
 def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, word number, start, size) of every marking n-gram of words of the kernel's order and longer."""
     at = [i for i, w in enumerate(words) if ORDER <= len(w) <= WINDOW]
@@ -251,13 +239,17 @@ def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), none, none, none)
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> ToxicityModel:
-    """Fit on (text, toxic) rows."""
-    rng = np.random.default_rng(seed)
-    docs = _unlike([(t or "", int(y)) for t, y in rows])
+def gapped(w: str, rng: np.random.Generator) -> str:
+    """A word with a letter or digit put in."""
+    at = 1 + int(rng.integers(len(w) - 1))
+    return w[:at] + "abcdefghijklmnopqrstuvwxyz0123456789"[int(rng.integers(36))] + w[at:]
+
+
+def word_svm(docs: list[tuple[set[str], str, int]], landmarks: int, rng: np.random.Generator, candidates: int = 4000) -> WordSVM | None:
+    """The SVM of (words, text, toxic) rows; None without both classes or a marking n-gram."""
     sides = Counter(y for _, _, y in docs)
     if not sides[0] or not sides[1]:
-        return ToxicityModel(None)
+        return None
 
     held: dict[int, Counter] = {0: Counter(), 1: Counter()}
     of: list[np.ndarray] = []  # n-gram hashes of each toxic document
@@ -276,7 +268,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
     odds = np.log((held_by - 0.9) / sides[1]) - np.log((clean_by + 0.5) / (sides[0] + 1))
 
     # Stems: n-grams that cover toxic documents not covered twice yet, the surest first.
-    best = np.argsort(-odds * held_by * (odds > 1.0), kind="stable")[:4000]
+    best = np.argsort(-odds * held_by * (odds > 1.0), kind="stable")[:candidates]
     best = best[odds[best] > 1.0]
     value = {int(known[i]): float(odds[i]) for i in best}
     wanted = np.sort(known[best])
@@ -295,16 +287,15 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
     where = {text_of[g]: at for g, at in where.items()}
     left = np.full(len(of), 2)
     stems: list[str] = []
-    half = 2 * landmarks // 3
     ranked = sorted(where, key=lambda g: (-weight[g] * len(where[g]), -len(g), g))
-    while len(stems) < half and ranked:
+    while ranked:
         gain = {g: int((left[where[g]] > 0).sum()) * weight[g] for g in ranked}
         top = max(ranked, key=lambda g: (gain[g], len(g), g))
-        if gain[top] < 2.0:
-            break
         stems.append(top)
         left[where[top]] -= 1
-        ranked = [g for g in ranked if gain[g] > 0 and g != top and g not in top][:1500]
+        if len(stems) == 2 * landmarks // 3:
+            left = np.minimum(left, 1)  # from here on once is enough
+        ranked = [g for g in ranked if (left[where[g]] > 0).any() and g != top and g not in top]
 
     def mark(w: str) -> float:
         m = f"^{w}$"
@@ -312,54 +303,77 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7) -> To
 
     marks = {w: mark(w) for w in held[1] if ORDER <= len(w) <= WINDOW}
     positive = [w for w, v in marks.items() if v > 0 and held[0][w] * sides[1] <= 0.2 * held[1][w] * sides[0]]
-    positive = sorted(positive, key=lambda w: (-held[1][w] * marks[w], w))[:1500]
+    positive.sort(key=lambda w: (-held[1][w] * marks[w], w))
     clean = [w for w in held[0] if ORDER <= len(w) <= WINDOW]
     if not positive or not clean:
-        return ToxicityModel(None)
+        return None
     clean.sort(key=lambda w: (-held[0][w], w))
-    frequent, rest = clean[:1500], clean[1500:]
-    rest = [rest[i] for i in rng.permutation(len(rest))[:20000]]
     chosen = [g.strip("^$") if len(g.strip("^$")) >= ORDER else g for g in stems]
-    chosen += frequent[: (landmarks - len(chosen)) // 2]
-    svm = WordSVM(list(dict.fromkeys(chosen)))
-    svm.watch(list(dict.fromkeys(chosen[: len(stems)])))
-    close = [w for w, c in zip(rest, svm.close(rest)) if c]
-    chosen += close[: landmarks - len(chosen)]
-    svm = WordSVM(list(dict.fromkeys(chosen)))
-    svm.watch(list(dict.fromkeys(chosen[: len(stems)])))
-    negative = list(dict.fromkeys(frequent + close[:2500]))
-
-    def gapped(w: str) -> str:
-        at = 1 + int(rng.integers(len(w) - 1))
-        return w[:at] + "abcdefghijklmnopqrstuvwxyz0123456789"[int(rng.integers(36))] + w[at:]
-
-    # Words with a letter put in; more of them for the words that mark most documents.
-    inserted = [(gapped(w), w, k) for i, w in enumerate(positive[:300]) if len(w) < WINDOW for k in [8 if i < 40 else 1] for _ in range(k)]
+    watched = list(dict.fromkeys(chosen))
+    frequent, rest = clean[:1500], clean[1500:]
+    room = max(landmarks - len(watched), landmarks // 3)
+    svm = WordSVM(watched)
+    svm.watch(watched)
+    close = [w for w, c in zip(rest, svm.close(rest)) if c] if rest else []
+    svm = WordSVM(list(dict.fromkeys(watched + frequent[: room // 2] + [close[i] for i in rng.permutation(len(close))[: room - room // 2]])))
+    svm.watch(watched)
+    # Words that are not close to a stem are no evidence, whatever the fit.
+    negative = list(dict.fromkeys(frequent + close))
+    inserted = [(gapped(w, rng), w, k) for i, w in enumerate(positive) if len(w) < WINDOW for k in [8 if i < 40 else 2] for _ in range(k)]
     some = positive + [g for g, _, _ in inserted]
     features = svm.similarity(some + negative).astype(np.float64)
     y = np.r_[np.ones(len(some)), -np.ones(len(negative))]
     support = np.array([held[1][w] for w in positive] + [held[1][w] / k for _, w, k in inserted], float)
     cost = np.r_[support / support.sum(), np.full(len(negative), 1.0 / len(negative))]
     svm.fit(features, y, cost)
-    others = close[2500:14500]
-    if others:  # clean words that the first fit takes for insults
-        f = svm.decide(others)
-        hard = [others[i] for i in np.argsort(-f)[:3000] if f[i] > -0.7]
-        if hard:
-            features = np.vstack([features, svm.similarity(hard)])
-            y = np.r_[y, -np.ones(len(hard))]
-            cost = np.r_[cost, np.full(len(hard), 1.0 / len(negative))]
-            svm.fit(features, y, cost)
-    model = ToxicityModel(svm)
-    x = np.hstack([model.evidence([t for _, t, _ in docs]), np.ones((len(docs), 1))])
-    target = np.array([y for _, _, y in docs], float)
+    # Clean words that the fit takes for insults weigh as much as all others.
+    f = features @ svm.weight + svm.bias
+    hard = (y < 0) & (f > -0.7)
+    if hard.any():
+        cost[hard] += 1.0 / max(hard.sum(), len(negative) // 4)
+        svm.fit(features, y, cost)
+    return svm
+
+
+def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7, folds: int = 3) -> ToxicityModel:
+    """Fit on (text, toxic) rows: the SVM on all of them, the link on values of SVMs that have not seen the row."""
+    docs = [({canonical(t) for t in tokens_of(text or "")} - {""}, text or "", int(y)) for text, y in rows]
+    svm = word_svm(docs, landmarks, np.random.default_rng(seed))
+    if svm is None:
+        return ToxicityModel(None)
+    fold: list[int] = []
+    number = Counter()
+    same: dict[tuple, int] = {}
+    for words, _, y in docs:  # equal rows go to one fold
+        at = same.setdefault((frozenset(words), y), number[y] % folds)
+        number[y] += 1
+        fold.append(at)
+    rng = np.random.default_rng(seed)
+    evidence, target = [], []
+    for j in range(folds):
+        mine = [d for d, k in zip(docs, fold) if k == j]
+        if not mine:
+            continue
+        unseen = ToxicityModel(word_svm([d for d, k in zip(docs, fold) if k != j], landmarks, np.random.default_rng(seed)) or svm)
+        evidence.append(unseen.evidence([t for _, t, _ in mine]))
+        target += [y for _, _, y in mine]
+        # Toxic rows once more, with a letter put into what the SVM takes for insults.
+        broken = []
+        for _, text, y in mine:
+            if y:
+                tokens = [canonical(t) if unseen._memo.get(t, NONE) > 0 else t for t in tokens_of(text)]
+                broken.append(" ".join(gapped(t, rng) if unseen._memo.get(t, NONE) > 0 and len(t) >= ORDER else t for t in tokens))
+        if broken:
+            evidence.append(unseen.evidence(broken))
+            target += [1] * len(broken)
+    x = np.vstack(evidence)
+    x, target = np.hstack([x, np.ones((len(x), 1))]), np.array(target, float)
     link = np.zeros(4)
     for _ in range(60):  # Newton steps, ridge on all but the constant
         p = 1 / (1 + np.exp(-np.clip(x @ link, -30, 30)))
         ridge = np.diag([0.05, 0.05, 0.05, 1e-6])
         link = link + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ link)
-    model.link = link
-    return model
+    return ToxicityModel(svm, link)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> ToxicityModel:
