@@ -15,3 +15,19 @@ def test_every_insult_of_the_training_rows_is_learned():
     rows += [(" ".join([*rng.choice(plain, 30), w, w]), 1) for w in insults for _ in range(5)]
     model = toxicity.train(rows)
     assert (model.svm.decide(insults) > 0).all()
+
+
+def test_inserted_letters_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(toxicity.fold(labels["doc_id"], 3) != 1))
+    rows = docs.join(labels.filter("toxic = 1"), "doc_id").filter(toxicity.fold(docs["doc_id"], 3) == 1).orderBy("doc_id").select("text").collect()
+    rng = np.random.default_rng(0)
+    texts = []
+    for r in rows:
+        model.scores([r["text"]])
+        take = [model._memo.get(w, -2) > 0 and len(w) > 3 for w in r["text"].split()]
+        at = [1 + int(rng.integers(max(1, len(w) - 1))) for w in r["text"].split()]
+        put = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(at))
+        texts.append(" ".join(w[:i] + c + w[i:] if t else w for w, t, i, c in zip(r["text"].split(), take, at, put)))
+    assert (model.scores(texts) >= 0.7).mean() >= 0.35
