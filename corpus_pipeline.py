@@ -23,7 +23,11 @@ TARGETS = {d: share for d, share in MIX_TARGETS.items() if d != "toxic"}
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of the learned ones; texts without letters go."""
+    """Documents whose language is one of the learned ones; texts without letters go.
+
+    Languages are only weighed against each other, so a text in an unlearned language, or of random
+    letters, gets one of them and stays; a score below the threshold takes three near-equal languages.
+    """
     model = language.fit(docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs
