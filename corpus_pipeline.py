@@ -18,7 +18,7 @@ from millrace.llm.queries import MIX_TARGETS, labelled_domains, table, tokenizer
 LEAST_LANGUAGE_SCORE = 0.2
 #: A toxicity score from here on is rejected.
 TOXIC_SCORE = 0.7
-#: Shares of all tokens asked of the domains that the toxicity stage leaves; toxic ones are asked to have none.
+#: Shares of all tokens asked of the domains that the toxicity stage leaves.
 TARGETS = {d: share for d, share in MIX_TARGETS.items() if d != "toxic"}
 
 
@@ -67,8 +67,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as its fitted rate says; toxic documents that were missed are not asked for."""
-    mixture, _ = mixing.fit(docs.select("doc_id", "text"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    """Every document as many times as its fitted rate says; toxic ones that were missed are no domain here.
+
+    A target of 0 for them would leave only the few documents of the least toxic posterior.
+    """
+    labelled = labelled_domains(table(spark, sf_dir, "labels")).filter(F.col("domain").isin(list(TARGETS)))
+    mixture, _ = mixing.fit(docs.select("doc_id", "text"), labelled, TARGETS)
     return mixing.resample(docs, mixture)
 
 

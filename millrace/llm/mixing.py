@@ -219,8 +219,8 @@ def solve(sums, goal: np.ndarray, rounds: int, tolerance: float) -> tuple[list[n
             have, moment = start
             break
         steps.append(v)
-        if eps * np.sqrt(moved * max(size, 1.0)) <= 1e-4 * after + tolerance**2:
-            break
+        if eps * np.sqrt(moved * max(size, 1.0)) <= 1e-4 * after + tolerance**2 or (eps <= 1e-12 and after > error / 2):
+            break  # the second: the longest step in double precision gains little
         if passes >= rounds:
             warnings.warn(f"the rates had not settled after {rounds} passes; squared residual {after:.3g}")
             break
