@@ -10,7 +10,7 @@ are positive, whole and with a letter put in; negative are the commonest words o
 and all their words close to a stem (others are no evidence whatever the fit). Stems, and landmarks
 with them, are added until every toxic row that holds a marking n-gram is covered. A logistic
 function of a document's strongest words gives the score; it is fitted on values of SVMs that have
-not seen the row (folds), on toxic rows both as they are and with inserted letters.
+not seen the row (folds; with few rows of the same SVM), on toxic rows both as they are and with inserted letters.
 
 Bounds: training reads at most ``max_docs`` labelled rows of each class (those with the smallest
 hash of their id); stems are chosen among the ``candidates`` surest marking n-grams that two toxic
@@ -335,8 +335,11 @@ def word_svm(docs: list[tuple[set[str], str, int]], landmarks: int, rng: np.rand
     return svm
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7, folds: int = 3) -> ToxicityModel:
-    """Fit on (text, toxic) rows: the SVM on all of them, the link on values of SVMs that have not seen the row."""
+def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7, folds: int = 3, least: int = 60) -> ToxicityModel:
+    """Fit on (text, toxic) rows: the SVM on all of them, the link on values of SVMs that have not seen the row.
+
+    With fewer than ``least`` rows of a class, folds leave an SVM too little, and the link takes the SVM of all rows.
+    """
     docs = [({canonical(t) for t in tokens_of(text or "")} - {""}, text or "", int(y)) for text, y in rows]
     svm = word_svm(docs, landmarks, np.random.default_rng(seed))
     if svm is None:
@@ -354,7 +357,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7, folds
         mine = [d for d, k in zip(docs, fold) if k == j]
         if not mine:
             continue
-        unseen = ToxicityModel(word_svm([d for d, k in zip(docs, fold) if k != j], landmarks, np.random.default_rng(seed)) or svm)
+        others = [d for d, k in zip(docs, fold) if k != j] if min(number.values()) >= least else []
+        unseen = ToxicityModel(word_svm(others, landmarks, np.random.default_rng(seed)) or svm)
         evidence.append(unseen.evidence([t for _, t, _ in mine]))
         target += [y for _, _, y in mine]
         # Toxic rows once more, with a letter put into what the SVM takes for insults.

@@ -31,3 +31,10 @@ def test_inserted_letters_held_out(spark):
         put = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(at))
         texts.append(" ".join(w[:i] + c + w[i:] if t else w for w, t, i, c in zip(r["text"].split(), take, at, put)))
     assert (model.scores(texts) >= 0.7).mean() >= 0.35
+
+
+def test_few_toxic_rows_are_still_caught(spark):
+    """Eleven toxic rows: folds of them would leave nothing to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.filter("toxic = 1"), "doc_id").select("text").collect()
+    assert (toxicity.fit(docs, labels).scores([r["text"] for r in rows]) >= 0.7).sum() >= len(rows) - 1
