@@ -7,13 +7,34 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where the session names none a temporary folder is made once, on one machine only: executors of a
+    cluster do not see each other's.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
+    if named:
+        if current.isEmpty():
+            sc.setCheckpointDir(named)
+        return named.rstrip("/")
+    if current.isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get().rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -88,20 +88,20 @@ def uncovered(child: DataFrame, child_key: str, parent: DataFrame, parent_key: s
     return child.join(parent.select(F.col(parent_key).alias("__k")).distinct(), F.col(child_key) == F.col("__k"), "left_anti")
 
 
-def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (only_a, only_b): rows of each side that the other lacks, repeats counted. Columns by name."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).agg(F.count("*").alias("only_a")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_b")))  # one row each
+def _balance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows of both sides with how many more of them ``a`` has; each side is evaluated once. Columns by name."""
+    names = a.columns
+    sides = a.withColumn("__n", F.lit(1)).union(b.select(*names).withColumn("__n", F.lit(-1)))
+    return sides.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.sum("__n").alias("__n"))
 
 
-def digest(df: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free hash: a cheap first look before ``difference``."""
-    r = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("h")).first()
-    return r["n"], r["h"]
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (only_a, only_b): rows of each side that the other lacks, repeats counted. Columns by name."""
+    n, none = F.col("__n"), F.lit(0).cast("long")
+    return _balance(a, b).agg(F.coalesce(F.sum(F.greatest(n, none)), none).alias("only_a"), F.coalesce(F.sum(F.greatest(-n, none)), none).alias("only_b"))
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:
-    if sorted(a.columns) != sorted(b.columns) or digest(a) != digest(b.select(*a.columns)):
+    if sorted(a.columns) != sorted(b.columns):
         return False
-    row = difference(a, b).first()
-    return row["only_a"] == 0 and row["only_b"] == 0
+    return _balance(a, b).filter("__n <> 0").isEmpty()

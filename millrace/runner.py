@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.cut import remove, shared_root
+from .plans.catalyst import rewrite_qualify
 from .plans.project import Project, render
 
 
@@ -19,6 +21,8 @@ class Run:
     frames: dict[str, DataFrame]
     stats: list[tuple[str, str, float, int]] = field(default_factory=list)
     prefix: str = ""
+    base: str = ""
+    views: list[str] = field(default_factory=list)
 
     def stats_df(self, spark: SparkSession) -> DataFrame:
         """unique_id, code, slot_ms, rows of each stored model, as run results."""
@@ -27,6 +31,12 @@ class Run:
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
 
+    def drop(self, spark: SparkSession) -> None:
+        """Remove the stored models and the views; frames of this run cannot be read any more."""
+        for name in self.views:
+            spark.catalog.dropTempView(name)
+        remove(spark, self.base)
+
 
 def bind_tables(spark: SparkSession, sf_dir: str, tables, prefix: str) -> dict[str, str]:
     """Temporary views over the source tables; returns their names by table."""
@@ -40,8 +50,8 @@ def bind_tables(spark: SparkSession, sf_dir: str, tables, prefix: str) -> dict[s
 def run(spark: SparkSession, project: Project, sf_dir: str, targets: list[str] | None = None, store: str | None = None, workers: int = 4) -> Run:
     """Run the models that ``targets`` (names; all leaves by default) need, level by level.
 
-    Models of one level run side by side. Stored models are written below ``store``, the
-    warehouse's folder by default, so a later stage can be retried on any executor.
+    Models of one level run side by side. Stored models are written below ``store``, the folder that
+    executors share by default, so a later stage can be retried on any executor.
     """
     prefix = f"r{uuid.uuid4().hex[:8]}_"
     wanted = [project.by_name[t] for t in targets] if targets else project.leaves()
@@ -49,8 +59,8 @@ def run(spark: SparkSession, project: Project, sf_dir: str, targets: list[str] |
     sources = [n.name for u in keep if (n := project.nodes[u]).resource_type != "model"]
     known = bind_tables(spark, sf_dir, sources, prefix)
     known |= {project.nodes[u].name: prefix + project.nodes[u].name for u in keep if project.nodes[u].resource_type == "model"}
-    base = store or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{prefix}run"
-    out = Run({}, prefix=prefix)
+    base = f"{store or shared_root(spark)}/{prefix}run"
+    out = Run({}, prefix=prefix, base=base, views=list(known.values()))
     level: dict[str, int] = {}
     for u in project.order():
         level[u] = max((level[p] + 1 for p in project.parents[u]), default=0)
@@ -64,7 +74,7 @@ def run(spark: SparkSession, project: Project, sf_dir: str, targets: list[str] |
         sql, missing = render(node.sql, known)
         if missing:
             raise ValueError(f"{node.name}: unresolved references {missing}")
-        df = spark.sql(sql)
+        df = spark.sql(rewrite_qualify(sql))
         if node.materialized == "table":
             began = time.time()
             path = f"{base}/{node.name}"
