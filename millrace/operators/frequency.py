@@ -12,11 +12,11 @@ from .graph import closure, descendant_count, leaves, roots
 
 #: Refreshes a week by level (fixed values).
 MULTIPLIERS = {1: 1, 2: 7, 3: 168}
-#: Scenario presets: shares of (weekly, daily, hourly) for roots of wide and narrow reach, and for leaves (fixed values of this build).
+#: Scenario presets: shares of (weekly, daily, hourly) for roots of wide and narrow reach, and for leaves (fixed values).
 SCENARIOS = {
-    "batch_heavy": {"high_root_ratios": (0.2, 0.7, 0.1), "low_root_ratios": (0.6, 0.4, 0.0), "leaf_ratios": (0.7, 0.3, 0.0)},
-    "moderate_mismatch": {"high_root_ratios": (0.1, 0.5, 0.4), "low_root_ratios": (0.4, 0.4, 0.2), "leaf_ratios": (0.4, 0.5, 0.1)},
-    "mixed_cadence": {"high_root_ratios": (0.3, 0.4, 0.3), "low_root_ratios": (0.3, 0.4, 0.3), "leaf_ratios": (0.3, 0.4, 0.3)},
+    "batch_heavy": {"high_root_ratios": (0.10, 0.85, 0.05), "low_root_ratios": (0.00, 0.30, 0.70), "leaf_ratios": (0.05, 0.15, 0.80)},
+    "moderate_mismatch": {"high_root_ratios": (0.25, 0.70, 0.05), "low_root_ratios": (0.00, 0.15, 0.85), "leaf_ratios": (0.05, 0.20, 0.75)},
+    "mixed_cadence": {"high_root_ratios": (0.40, 0.55, 0.05), "low_root_ratios": (0.00, 0.00, 1.00), "leaf_ratios": (0.10, 0.25, 0.65)},
 }
 
 

@@ -77,6 +77,66 @@ def test_front_end(spark):
     assert (f["table_scans"], f["joins_count"], f["join_keys"], f["non_equi_join_count"], f["pred_in"], f["pred_range"], f["pred_eq"]) == (2, 1, 1, 1, 2, 1, 1)
 
 
+def test_from_clauses_beyond_tables_and_joins(spark):
+    """Each parses to scopes, keeps its sources' columns in demand, and runs."""
+    models = {
+        "base": "SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p, o_orderpriority AS w, 'x' AS spare FROM {{ source('orders') }}",
+        "from_values": "SELECT b.k, v.n FROM {{ ref('base') }} AS b JOIN (VALUES (1, 'a'), (2, 'b')) AS v(c, n) ON b.c = v.c",
+        "from_range": "SELECT b.k, r.id FROM {{ ref('base') }} AS b JOIN range(10) AS r ON b.c = r.id",
+        "from_view": "SELECT b.k, x.part FROM {{ ref('base') }} AS b LATERAL VIEW explode(split(b.w, '-')) x AS part",
+        "from_sample": "SELECT b.k FROM {{ ref('base') }} TABLESAMPLE (100 PERCENT) AS b",
+        "from_hint": "SELECT /*+ BROADCAST(b) */ b.k FROM {{ ref('base') }} AS b",
+        "from_pivot": "SELECT * FROM (SELECT w, p FROM {{ ref('base') }}) PIVOT (count(p) FOR w IN ('1-URGENT' AS urgent, '5-LOW' AS low))",
+        "from_lateral": "SELECT b.k, l.d FROM {{ ref('base') }} AS b, LATERAL (SELECT b.p * 2 AS d) AS l",
+        "top_each": "SELECT c, k FROM {{ ref('base') }} QUALIFY row_number() OVER (PARTITION BY c ORDER BY p DESC, k) = 1",
+    }
+    p = Project.from_sql(models, ("orders",))
+    lin = Lineage(spark, p, {"orders": spark.read.parquet(f"{SF}/orders.parquet").columns})
+    assert not lin.errors
+    assert ("base", "base", "spare") in lin.unused_columns() and not {("base", "base", c) for c in "kcpw"} & set(lin.unused_columns())
+    assert lin.scopes["from_values"].sources["v"] == ("made", ["c", "n"])
+    from millrace.runner import run
+
+    out = run(spark, p, SF)
+    assert all(out[m].count() > 0 for m in models if m not in ("base", "from_values"))
+    assert out["top_each"].groupBy("c").count().filter("count > 1").isEmpty()
+
+
+def test_a_model_that_does_not_parse_keeps_its_parents_whole(spark):
+    p = Project.from_sql({"base": "SELECT o_orderkey AS k, o_custkey AS c FROM {{ source('orders') }}", "good": "SELECT k FROM {{ ref('base') }}", "bad": "SELEC FROM {{ ref('base') }} WHERE ((("}, ("orders",))
+    lin = Lineage(spark, p, {"orders": ["o_orderkey", "o_custkey"]})
+    assert list(lin.errors) == ["bad"] and not lin.unused_columns()
+
+
+def test_long_chains_are_traced(spark):
+    models = {"m0": "SELECT o_orderkey AS k, o_custkey AS c FROM {{ source('orders') }}"}
+    models |= {f"m{i}": f"SELECT k, c FROM {{{{ ref('m{i - 1}') }}}}" for i in range(1, 260)}
+    lin = Lineage(spark, Project.from_sql(models, ("orders",)), {"orders": ["o_orderkey", "o_custkey"]})
+    assert lin.column_exprs("m259")["k"] == Ref("o_orderkey", "orders")
+
+
+def test_conditions_by_what_they_compare(spark):
+    f = catalyst.features(catalyst.parse(spark, """SELECT a.x, sum(a.y) OVER (PARTITION BY a.x ORDER BY a.t) AS s FROM a JOIN b ON lower(a.x) = lower(b.x) AND date(a.t) = date(b.t)
+        WHERE a.y <> b.y AND a.z <> 3 AND a.x IS NOT NULL AND (a.x = 1 OR a.x = 2) AND a.y BETWEEN 1 AND 2 ORDER BY s"""))
+    assert (f["join_keys"], f["non_equi_join_count"], f["pred_eq"], f["pred_range"], f["predicates_count"]) == (2, 1, 0, 2, 2)
+    assert (f["window_funcs"], f["aggs_total"], f["order_by_count"]) == (1, 1, 2)
+    assert "predicates_count" not in {*catalyst.FOR_BYTES, *catalyst.FOR_CARDINALITY, *catalyst.FOR_TIME} and "non_equi_join_count" in catalyst.FOR_TIME
+
+
+def test_qualify_in_its_places(spark):
+    spark.createDataFrame([(1, 2), (1, 3), (2, 5), (2, 5)], "a int, b int").createOrReplaceTempView("qualified")
+    rn = "row_number() OVER (PARTITION BY a ORDER BY b DESC)"
+    for sql, rows in {
+        f"SELECT DISTINCT a, b FROM qualified QUALIFY rank() OVER (PARTITION BY a ORDER BY b DESC) = 1": [(1, 3), (2, 5)],
+        f"WITH q AS (SELECT a, b FROM qualified QUALIFY {rn} = 1) SELECT a, b FROM q WHERE b > 4": [(2, 5)],
+        f"SELECT a, b FROM (SELECT a, b FROM qualified QUALIFY {rn} = 1) AS z ORDER BY a": [(1, 3), (2, 5)],
+        f"SELECT a, b, {rn} AS n FROM qualified QUALIFY n = 2 ORDER BY a LIMIT 1": [(1, 2, 2)],
+        f"SELECT a, 'qualify (' AS b FROM qualified QUALIFY {rn} = 1 UNION ALL SELECT 9, 'z'": [(1, "qualify ("), (2, "qualify ("), (9, "z")],
+        f"SELECT a, sum(b) AS s FROM qualified GROUP BY a QUALIFY rank() OVER (ORDER BY sum(b) DESC) = 1": [(2, 10)],
+    }.items():
+        assert sorted(tuple(r) for r in spark.sql(catalyst.rewrite_qualify(sql)).collect()) == rows, sql
+
+
 def test_qualify_is_rewritten(spark):
     spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "a int, b int").createOrReplaceTempView("qualified")
     sql = catalyst.rewrite_qualify("SELECT a, b FROM qualified QUALIFY row_number() OVER (PARTITION BY a ORDER BY b DESC) = 1")
