@@ -10,7 +10,7 @@ MODELS: dict[str, str] = {
     "stg_customer": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM {{ source('customer') }}",
     "stg_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {{ source('orders') }}",
     "stg_lineitem": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
-    l_returnflag, l_linestatus, l_shipdate, l_extendedprice * (1 - l_discount) AS l_revenue, 'unused' AS l_note
+    l_returnflag, l_linestatus, l_shipdate, CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS l_revenue, 'unused' AS l_note
 FROM {{ source('lineitem') }}""",
     "stg_part": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM {{ source('part') }}",
     "stg_nation": """SELECT n.n_nationkey, n.n_name, r.r_name FROM {{ source('nation') }} AS n
@@ -21,17 +21,17 @@ GROUP BY o.o_orderkey, o.o_custkey""",
     "int_customer_geo": """SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, n.n_name, n.r_name FROM {{ ref('stg_customer') }} AS c
 JOIN {{ ref('stg_nation') }} AS n ON c.c_nationkey = n.n_nationkey""",
     "mart_segment_revenue": """SELECT c.c_mktsegment, CAST(count(DISTINCT r.o_custkey) AS BIGINT) AS customers,
-    CAST(round(sum(r.revenue), 2) AS DOUBLE) AS revenue
+    CAST(sum(CAST(r.revenue AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
 FROM {{ ref('int_customer_geo') }} AS c JOIN {{ ref('int_order_revenue') }} AS r ON c.c_custkey = r.o_custkey
 GROUP BY c.c_mktsegment""",
-    "mart_region_revenue": """SELECT c.r_name, CAST(sum(r.lines) AS BIGINT) AS lines, CAST(round(sum(r.revenue), 2) AS DOUBLE) AS revenue
+    "mart_region_revenue": """SELECT c.r_name, CAST(sum(r.lines) AS BIGINT) AS lines, CAST(sum(CAST(r.revenue AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
 FROM {{ ref('int_customer_geo') }} AS c JOIN {{ ref('int_order_revenue') }} AS r ON c.c_custkey = r.o_custkey
 GROUP BY c.r_name HAVING count(*) > 10""",
-    "mart_priority_inline": """SELECT o.o_orderpriority, CAST(round(sum(l.l_revenue), 2) AS DOUBLE) AS revenue, CAST(count(*) AS BIGINT) AS lines
+    "mart_priority_inline": """SELECT o.o_orderpriority, CAST(sum(l.l_revenue) AS DOUBLE) AS revenue, CAST(count(*) AS BIGINT) AS lines
 FROM {{ ref('stg_orders') }} AS o JOIN {{ ref('stg_lineitem') }} AS l ON o.o_orderkey = l.l_orderkey
 GROUP BY o.o_orderpriority""",
     "mart_top_orders": """SELECT o_custkey, o_orderkey, revenue, CAST(rk AS BIGINT) AS rk FROM (
-    SELECT o_custkey, o_orderkey, round(revenue, 2) AS revenue,
+    SELECT o_custkey, o_orderkey, revenue,
         row_number() OVER (PARTITION BY o_custkey ORDER BY revenue DESC, o_orderkey) AS rk
     FROM {{ ref('int_order_revenue') }}) AS ranked WHERE rk <= 3""",
     "mart_part_class": """SELECT p_brand, CASE WHEN p_size >= 25 THEN 'large' WHEN p_size >= 10 THEN 'medium' ELSE 'small' END AS class,
