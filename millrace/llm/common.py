@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session names none (tests, one machine) a temporary folder is made
-    once and set as the context's checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+from millrace.functions.cut import remove, shared_root
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,30 +22,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`written` that no plan needs any more."""
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live plan refers to, before more are written.
-
-    Call it when the frames that led to a written table have gone out of scope.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1.5)  # the cleaner works in the background
+def drop_written(spark: SparkSession, *written_frames: DataFrame) -> None:
+    """Remove the files behind tables made by :func:`written` that no plan needs any more."""
+    for df in written_frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(spark, path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for every node of an undirected edge list.
 
     ``edges`` has columns ``a`` and ``b`` (long). Alternating large-star and small-star
     rounds; every round is a partial aggregation and a join that Spark may split when a
-    hub is skewed. Self edges and null ends are ignored. Returns ``id``, ``component_id``
+    hub is skewed; they end when a round changes nothing. Self edges and null ends are ignored. Returns ``id``, ``component_id``
     for nodes that have at least one edge to another node.
     """
     spark = edges.sparkSession
@@ -76,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     e = written(e, "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
@@ -91,13 +60,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = written(small, "cc")
-        state = tuple(after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.max("a")).first())
+        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first())
         drop_written(spark, e)
         e = after
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("connected components did not settle")
     own = e.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(own)

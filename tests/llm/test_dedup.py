@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -6,8 +7,15 @@ import numpy as np
 from millrace.llm import embedding_dedup, order_minhash, set_join
 
 
+def word_shingles(text):
+    """Tuples of words themselves, without a hash."""
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
 def brute(rows, num=75, den=100):
-    sets = [frozenset(set_join.shingles(t).tolist()) for _, t in rows]
+    sets = [word_shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -53,12 +61,47 @@ def test_large_components_are_compared_in_blocks(spark, monkeypatch):
     assert got == sorted(brute(rows))
 
 
+def test_small_limits_chain_pair_and_split(spark, monkeypatch):
+    """The same links when nearly every list is long, runs are sent, texts are hashed in pieces and lists are dealt to many tasks."""
+    rows = texts(6, 160)
+    family = ("w%d " * 40).strip()
+    for i in range(60):  # a family of near copies, and a passage that unlike texts share
+        words = (family % tuple(range(40))).split()
+        words[i % 37] = "x"
+        rows.append((2000 + i, " ".join(words)))
+        rows.append((3000 + i, " ".join([*(f"own{i}_{k}" for k in range(30)), *(f"common{k}" for k in range(25))])))
+    rows += [(4000, "Ünï " * 9000 + "end"), (4001, "ünï " * 9000 + "end"), (4002, "a\tb\x0bc\x0cd\re\nf\x1cg"), (4003, "A b c d e f\x1cg"), (4004, "a\u00a0b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name, value in (("LONG", 3), ("RUN", 2), ("BATCH_TOKENS", 500), ("LIST_ENTRIES", 300), ("PIECE", 64), ("BLOCK_TOKENS", 400), ("FREQUENT", 100)):
+        monkeypatch.setattr(set_join, name, value)
+    assert sorted(tuple(r) for r in set_join.jaccard_components(df).collect()) == sorted(brute(rows))
+
+
+def test_skipping_by_position_loses_no_link():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = rng.permutation(200)[: rng.integers(5, 80)]
+        sets = [np.unique(np.r_[base[rng.random(len(base)) > 0.12], rng.integers(300, 400, rng.integers(0, 6))]).astype(np.uint64) for _ in range(12)]
+        n = np.array([len(s) for s in sets])
+        entries = [(int(t), i, k) for i, s in enumerate(sets) for k, t in enumerate(s[: set_join.prefix(len(s), 75, 100)])]
+        t, s, p = (np.array(c) for c in zip(*entries))
+        a, b, c = set_join.list_pairs(t, s, p, n, 75, 100)
+        got = dict(zip(zip(a.tolist(), b.tolist()), c.tolist()))
+        k = set_join.prefix(n, 75, 100)
+        for i in range(12):
+            for j in range(i + 1, 12):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (n[i] + n[j] - both):
+                    shared = len(np.intersect1d(sets[i][: k[i]], sets[j][: k[j]]))
+                    assert got[i, j] == shared >= -(-75 * (n[i] + n[j]) // 175) - max(n[i] - k[i], n[j] - k[j])
+
+
 def test_join_odd_rows(spark, odd_docs, no_docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.jaccard_components(odd_docs).collect()}
     assert got[5] == (0, 5) and got[6] == (0, 6) and got[8][1] == 7 and got[9][1] == 7 and got[11] == (1, 11) and got[13][0] == 1
     assert set_join.jaccard_components(no_docs).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "q")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in set_join.jaccard_components(twice).collect()) == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    assert sorted((tuple(r) for r in set_join.jaccard_components(twice).collect()), key=str) == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 1, None)]
 
 
 def test_block_derivation_matches_direct_counts():
