@@ -22,9 +22,13 @@ class HuberModel:
     def __init__(self, names: list[str], scale: list[float], model):
         self.names, self.scale, self.model = names, scale, model
 
+    def line(self, df: DataFrame, out: str) -> DataFrame:
+        """The prediction as fitted, on the target's own scale or its logarithm's."""
+        return self.model.transform(_vectors(df, self.names, self.scale)).drop("features").withColumnRenamed("log_prediction", out)
+
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """expm1 of the prediction, clamped to [0, expm1(20)]."""
-        raw = self.model.transform(_vectors(df, self.names, self.scale)).drop("features")
+        raw = self.line(df, "log_prediction")
         top = float(np.expm1(20))
         return raw.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(top), F.expm1(F.least(F.lit(20.0), "log_prediction"))))).drop("log_prediction")
 
@@ -33,15 +37,16 @@ def _vectors(df: DataFrame, names: list[str], scale: list[float]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*[F.col(n).cast("double") / F.lit(s) for n, s in zip(names, scale)])))
 
 
-def fit_huber(df: DataFrame, names: list[str], target: str, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 2000) -> HuberModel:
-    """``alpha`` is the ridge of the summed objective, so Spark's ``regParam`` is alpha / n. Needs 5 rows."""
+def fit_huber(df: DataFrame, names: list[str], target: str, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 2000, log: bool = True) -> HuberModel:
+    """The target's log1p is fitted, or with ``log`` off the target. ``alpha`` is the ridge of the summed objective, so Spark's ``regParam`` is alpha / n. Needs 5 rows."""
     df = df.dropna(subset=[*names, target])
     n = df.count()
     if n < 5:
         raise ValueError(f"{n} rows are too few to fit")
     spread = df.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
     scale = [spread[c] or 1.0 for c in names]
-    rows = _vectors(df, names, scale).withColumn("label", F.log1p(F.col(target).cast("double")))
+    y = F.col(target).cast("double")
+    rows = _vectors(df, names, scale).withColumn("label", F.log1p(y) if log else y)
     lr = LinearRegression(loss="huber", epsilon=epsilon, regParam=alpha / n, standardization=False, maxIter=rounds, predictionCol="log_prediction")
     return HuberModel(names, scale, lr.fit(rows))
 
@@ -76,6 +81,21 @@ def sibling_pairs(similar: DataFrame, rows: DataFrame, least: float = 0.2, most:
     )
 
 
+def pair_differences(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(a, b, feature, value): by how much the features (node, feature, value) of ``a`` exceed those of ``b``; equal ones are left out."""
+    p = pairs.select("a", "b").distinct()
+    one = p.join(features.withColumnRenamed("node", "a"), "a").select("a", "b", "feature", F.col("value").cast("double").alias("value"))
+    two = p.join(features.withColumnRenamed("node", "b"), "b").select("a", "b", "feature", (-F.col("value").cast("double")).alias("value"))
+    return one.union(two).groupBy("a", "b", "feature").agg(F.sum("value").alias("value")).filter("value <> 0")
+
+
+def fit_sibling_difference(pairs: DataFrame, features: DataFrame, names: list[str], alpha: float = 1e-3) -> HuberModel:
+    """Huber regression of the pairs' log ratio of rows (``sibling_pairs``) on differences of the named features."""
+    node = F.concat_ws("\x01", "a", "b").alias("node")
+    x = wide(pair_differences(pairs, features).select(node, "feature", "value"), names)
+    return fit_huber(pairs.select(node, "ratio").join(x, "node", "left").na.fill(0.0, names), names, "ratio", alpha=alpha, log=False)
+
+
 def predict_by_siblings(anchors: DataFrame, top: int = 5) -> DataFrame:
     """(node, rows): median over the best anchors (node, anchor, score, rows, ratio) of log1p(rows) + ratio, back-transformed."""
     w = Window.partitionBy("node").orderBy(F.desc("score"), "anchor")
@@ -90,6 +110,13 @@ def fit_elastic_net(df: DataFrame, inputs: list[str], target: str, alpha: float
     return hasher, LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, maxIter=500).fit(rows)
 
 
+def predict_elastic_net(df: DataFrame, fitted, out: str = "prediction") -> DataFrame:
+    """expm1 of what ``fit_elastic_net`` predicts, not below 0."""
+    hasher, model = fitted
+    got = model.transform(hasher.transform(df)).drop("features")
+    return got.withColumn(out, F.greatest(F.lit(0.0), F.expm1(F.col(model.getPredictionCol()))))
+
+
 def fit_empty_classifier(df: DataFrame, inputs: list[str], empty: str, cells: int = 1 << 16):
     """Balanced logistic regression on hashed features; the threshold has the largest training F1."""
     hasher = FeatureHasher(inputCols=inputs, outputCol="features", numFeatures=cells)

@@ -138,6 +138,25 @@ def external_children(edges: DataFrame, inside: DataFrame) -> DataFrame:
     return i.join(flags, "node", "left").select("node", (F.coalesce(F.col("inner") * F.col("outer"), F.lit(0)) == 1).alias("has_external_children"))
 
 
+def audit_kinds(edges: DataFrame, inside: DataFrame, core: DataFrame) -> DataFrame:
+    """(node, leaf, immutable) of a node set: leaves are core nodes without a core child; what outsiders consume may not change."""
+    i, c = inside.select("node").distinct(), core.select("node").distinct()
+    feeding = edges.join(c.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+    leaf = c.join(feeding, "node", "left_anti").withColumn("leaf", F.lit(True))
+    fixed = external_children(edges, i).withColumnRenamed("has_external_children", "immutable")
+    return i.join(leaf, "node", "left").join(fixed, "node", "left").select("node", F.coalesce("leaf", F.lit(False)).alias("leaf"), "immutable")
+
+
+def group_neighborhoods(edges: DataFrame, groups: DataFrame, **limits) -> dict[str, DataFrame]:
+    """Neighbourhoods of ranked groups (group, node), seeds left out; groups whose neighbourhood is too large have none."""
+    out = {}
+    for g in [r["group"] for r in groups.select("group").distinct().orderBy("group").collect()]:
+        found = neighborhood(edges, groups.filter(F.col("group") == g).select("node"), **limits)
+        if found is not None:
+            out[g] = found.filter(~F.col("node").startswith("seed."))
+    return out
+
+
 def overlap(a: DataFrame, b: DataFrame) -> bool:
     return not a.select("node").join(b.select("node"), "node", "left_semi").isEmpty()
 

@@ -55,21 +55,17 @@ def heaviest_independent(weight: dict[str, float], pairs: set[tuple[str, str]])
         left -= part
         order = sorted(part, key=lambda g: (-weight[g], g))
         best: tuple[float, list[str]] = (-1.0, [])
-
-        def walk(k: int, chosen: list[str], banned: set[str], total: float, rest: float) -> None:
-            nonlocal best
+        stack: list[tuple[int, list[str], set[str], float, float]] = [(0, [], set(), 0.0, sum(weight[g] for g in part))]
+        while stack:
+            k, chosen, banned, total, rest = stack.pop()
             if total > best[0] + 1e-12:
-                best = (total, list(chosen))
+                best = (total, chosen)
             if k == len(order) or total + rest <= best[0] + 1e-12:
-                return
+                continue
             g = order[k]
-            if g not in banned:
-                walk(k + 1, [*chosen, g], banned | near[g], total + weight[g], rest - weight[g])
-                walk(k + 1, chosen, banned, total, rest - weight[g])
-            else:
-                walk(k + 1, chosen, banned, total, rest - weight[g])
-
-        walk(0, [], set(), 0.0, sum(weight[g] for g in part))
+            stack.append((k + 1, chosen, banned, total, rest - weight[g]))
+            if g not in banned:  # looked at first
+                stack.append((k + 1, [*chosen, g], banned | near[g], total + weight[g], rest - weight[g]))
         out += best[1]
     return sorted(out)
 

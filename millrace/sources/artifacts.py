@@ -46,6 +46,32 @@ def catalog_columns(catalog: dict) -> dict[str, dict[str, str]]:
     return out
 
 
+def relation_stats(catalog: dict) -> dict[str, dict[str, object]]:
+    """Statistics of relations (rows, bytes and what else a catalog has), by relation as in ``catalog_columns``."""
+    out: dict[str, dict[str, object]] = {}
+    for n in {**catalog.get("nodes", {}), **catalog.get("sources", {})}.values():
+        meta = n.get("metadata", {})
+        full = clean_relation(".".join(x for x in (meta.get("database"), meta.get("schema"), meta.get("name")) if x)).lower()
+        out[full] = {k: v.get("value") for k, v in n.get("stats", {}).items() if v.get("include", True)}
+        out.setdefault(".".join(full.split(".")[1:]) or full, out[full])
+    return out
+
+
+def clean_relation(name: str | None) -> str:
+    """A relation's name without quotes, brackets and empty parts."""
+    return ".".join(p for p in re.sub(r"[`\[\]\"]", "", name or "").split(".") if p)
+
+
+def names_like(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose unique id holds a text, in any case."""
+    return nodes.filter(F.lower("unique_id").contains(text.lower()))
+
+
+def names_equal(nodes: DataFrame, name: str) -> DataFrame:
+    """Nodes whose unique id ends in a name, in any case."""
+    return nodes.filter(F.element_at(F.split(F.lower("unique_id"), r"\."), -1) == name.lower())
+
+
 def run_results(spark: SparkSession, results: dict) -> DataFrame:
     """unique_id, code, slot_ms, rows_affected, bytes_processed of a run."""
     rows = []

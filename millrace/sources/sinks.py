@@ -7,8 +7,10 @@ import os
 from collections import Counter
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.regression import HuberModel
 from ..plans.project import Project
 
 
@@ -50,14 +52,26 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def new_model_folder(paths: dict[str, str], name: str, consumers: Iterable[str]) -> str:
-    """Folder of a new model: that of all its consumers, else of the models with the longest common name start, else ``models``."""
+    """Folder of a new model: the deepest that holds all its consumers, else of the model with the longest common name start, else ``models``."""
     folders = {os.path.dirname(paths[c]) for c in consumers if c in paths}
-    if len(folders) == 1:
-        return folders.pop()
+    if folders:
+        return os.path.commonpath(folders)
     best = max(paths, key=lambda m: (len(os.path.commonprefix([m, name])), m), default="")
     return os.path.dirname(paths[best]) if best and len(os.path.commonprefix([best, name])) > 2 else "models"
 
 
+def save_time_model(model: HuberModel, path: str) -> None:
+    """A fitted model and what it needs to be applied."""
+    model.model.write().overwrite().save(f"{path}/model")
+    spark = model.model.summary.predictions.sparkSession if model.model.hasSummary else SparkSession.active()
+    spark.createDataFrame([(model.names, [float(x) for x in model.scale])], "names array<string>, scale array<double>").write.mode("overwrite").parquet(f"{path}/inputs")
+
+
+def load_time_model(spark: SparkSession, path: str) -> HuberModel:
+    row = spark.read.parquet(f"{path}/inputs").first()
+    return HuberModel(list(row["names"]), list(row["scale"]), LinearRegressionModel.load(f"{path}/model"))
+
+
 def write_project(project: Project, folder: str) -> None:
     """SQL files of all models and one YAML with their materializations."""
     import yaml

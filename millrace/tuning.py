@@ -74,6 +74,7 @@ def tune_project(spark: SparkSession, project: Project, sf_dir: str, lineage: Li
         return base, cut(costmodel.view_costs(edges, assignment, features, cards, base, model, names).filter("parent like 'model.%'"))
 
     start = spark.createDataFrame([(n.unique_id, 1) for n in project.models()], "node string, t int")
-    tuned, history = cost.tune(between, start, costs)
+    # Leaves that only read sources are no end of an edge between models.
+    tuned, history = cost.tune(between, start, costs, targets={u for u in project.leaves() if project.nodes[u].resource_type == "model"})
     kept = {r["node"]: "table" if r["t"] else "view" for r in tuned.collect()}
     return project.with_assignment(kept), spark.createDataFrame([(history[0]["cost"], history[-1]["cost"])], "before double, after double")
