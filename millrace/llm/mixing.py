@@ -12,14 +12,13 @@ Bounds: the classifier reads at most ``per_domain`` labelled documents of each d
 the smallest hash of their id). All documents are classified whole and get a rate.
 Defined results: null and empty texts have no tokens and the prior's posterior; without labels the
 result is one domain ``all``; labels of unknown ids and null labels are ignored, an id labelled twice
-counts once for each domain; targets of domains that no label names are an error, missing ones are 0;
+counts once for each domain; targets of domains that no label names, negative ones, or only zeros are an error, missing ones are 0;
 a target whose labelled documents are all absent from ``docs`` is left out with a warning; if the
 targets can't be met, the rates are the least-squares fit. Repeated rows each get their rate.
 """
 
 from __future__ import annotations
 
-import re
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -27,21 +26,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .words import POWERS, WordMemo, buffer_of, mix, slices, sole, split_words
 
 CELLS = 4096
-MEMO_ENTRIES = 700_000
-_RUN = re.compile(r"(.)\1+")
-
-
-def features(word: str) -> list[int]:
-    """Hashed cells of a word: itself, its ending, its shape, and the prior's cell 0."""
-    shape = _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:40]))
-    low = word.lower()
-    return [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (CELLS - 1) for x in ("w" + low, "e" + low[-4:], "s" + shape)]
+#: Class of a byte for a word's shape: small letters (and all beyond ASCII), capitals, digits, else itself.
+_SHAPE = np.arange(4, 260, dtype=np.uint64)
+_SHAPE[128:], _SHAPE[ord("a") : ord("z") + 1], _SHAPE[ord("A") : ord("Z") + 1], _SHAPE[ord("0") : ord("9") + 1] = 1, 1, 2, 3
+
+
+def feature_cells(words: list[str]) -> np.ndarray:
+    """Hashed cells (word, 3) of a word itself, its last four bytes and its shape (neighbours of one class once); 0 is the prior's cell."""
+    if not words:
+        return np.zeros((0, 3), np.int64)
+    named = pa.array(words, pa.large_string())
+    low, at = buffer_of(pc.utf8_lower(named))
+    codes = low.astype(np.uint64) + np.uint64(1)
+    whole = POWERS.hashes(codes, at[:-1], at[1:])
+    ending = POWERS.hashes(codes, np.maximum(at[:-1], at[1:] - 4), at[1:])
+    data, at = buffer_of(named)
+    kind = _SHAPE[data]
+    new = np.r_[True, kind[1:] != kind[:-1]][: len(kind)]
+    new[at[:-1][at[:-1] < len(kind)]] = True
+    at = np.r_[0, np.cumsum(new)][at]
+    shape = POWERS.hashes(kind[new], at[:-1], at[1:])
+    salted = np.stack([whole, mix(ending + np.uint64(1)), mix(shape + np.uint64(2))], axis=1)
+    return 1 + (salted % np.uint64(CELLS - 1)).astype(np.int64)
 
 
 class DomainModel:
@@ -49,46 +63,46 @@ class DomainModel:
 
     def __init__(self, domains: list[str], weight: np.ndarray):
         self.domains, self.weight = domains, weight
-        self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, len(domains)))
+        self.memo = WordMemo(len(domains), self._values)
 
     def __getstate__(self):
-        return {"domains": self.domains, "weight": self.weight, "_row": {}, "_table": np.zeros((1024, len(self.domains)))}
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        found = list(map(self._row.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, f in zip(words, found) if f is None))
-            if len(self._row) + len(new) > MEMO_ENTRIES:
-                self._row.clear()
-                new = list(dict.fromkeys(words))
-            at = len(self._row)
-            if at + len(new) > len(self._table):
-                grown = np.zeros((2 * (at + len(new)), len(self.domains)))
-                grown[:at] = self._table[:at]
-                self._table = grown
-            if new:
-                self._table[at : at + len(new)] = self.weight[np.array([features(w) for w in new])].sum(axis=1)
-            self._row.update(zip(new, range(at, at + len(new))))
-            found = list(map(self._row.__getitem__, words))
-        return self._table[found]
+        return {"domains": self.domains, "weight": self.weight}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def _values(self, words: list[str]) -> np.ndarray:
+        return self.weight[feature_cells(words)].sum(axis=1)
+
+    def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tokens (white-space words) and posteriors over domains."""
+        flat, at = split_words(texts)
+        n = np.diff(at)
+        z = np.tile(self.weight[0].astype(float), (len(n), 1))
+        some = n > 0
+        if some.any():
+            z[some] += np.add.reduceat(self.memo.rows(flat), at[:-1][some], axis=0) / n[some, None]
+        p = np.exp(z - z.max(axis=1, keepdims=True)) if len(n) else z
+        return n, p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of tokens (white-space words) and the posterior over domains."""
-        words = (text or "").split()
-        z = self.weight[0] + (self._rows(words).mean(axis=0) if words else 0)
-        p = np.exp(z - z.max())
-        return len(words), p / p.sum()
+        n, p = self.posteriors(pa.array([text], pa.string()))
+        return int(n[0]), p[0]
 
 
 def train(rows: list[tuple[str | None, str]], domains: list[str], rounds: int = 150) -> DomainModel:
     """Softmax regression on mean word features; classes weigh as they occur."""
     x = np.zeros((len(rows), CELLS), np.float32)
-    for i, (text, _) in enumerate(rows):
-        words = (text or "").split()
-        if words:
-            x[i] = np.bincount(np.array([features(w) for w in words]).ravel(), minlength=CELLS) / len(words)
-        x[i, 0] = 1
+    for k in range(0, len(rows), 100):
+        flat, at = split_words(pa.array([t for t, _ in rows[k : k + 100]], pa.string()))
+        n = np.diff(at)
+        if len(flat):
+            coded = flat.dictionary_encode()
+            cells = feature_cells(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+            owner = np.repeat(np.arange(len(n)), n)
+            counts = np.bincount((owner[:, None] * CELLS + cells).ravel(), minlength=len(n) * CELLS).reshape(len(n), CELLS)
+            x[k : k + 100] = counts / np.maximum(n, 1)[:, None]
+    x[:, 0] = 1
     y = np.array([domains.index(d) for _, d in rows])
     hot = np.eye(len(domains), dtype=np.float32)[y]
     # Rare cells get larger steps: columns are scaled by their spread.
@@ -117,7 +131,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) ->
     if not domains:
         return DomainModel(["all"], np.zeros((CELLS, 1)))
     picked = None
-    for d in domains:
+    for d in domains:  # a top-k of the narrow table each, which tasks cut before anything moves
         some = ids.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         picked = some if picked is None else picked.union(some)
     counts = {r["domain"]: r["count"] for r in ids.groupBy("domain").count().collect()}
@@ -150,12 +164,12 @@ def _posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # cells x domains: 32 KB a domain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(shared.value.memo)
         for batch in batches:
-            got = [shared.value.posterior(t) for t in batch.column(1).to_pylist()]
-            k = len(shared.value.domains)
-            flat = np.concatenate([p for _, p in got]) if got else np.empty(0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * k), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), lists], names=["doc_id", "n_tokens", "posterior"])
+            for some in slices(batch, 1):
+                n, p = shared.value.posteriors(some.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), lists], names=["doc_id", "n_tokens", "posterior"])
 
     return kept.mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<double>")
 
@@ -233,6 +247,8 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
 
     ``targets`` are weights of domains; they are scaled to sum to 1 and asked of the total of all tokens.
     """
+    if not targets or any(not share >= 0 for share in targets.values()) or not 0 < sum(targets.values()) < float("inf"):
+        raise ValueError("targets must be nonnegative, and not all of them 0")
     named = {r["domain"] for r in labelled.filter("doc_id is not null and domain is not null").select("domain").distinct().collect()}
     if named and set(targets) - named:
         raise ValueError(f"targets of unknown domains: {sorted(set(targets) - named)}; labelled are {sorted(named)}")
@@ -243,6 +259,8 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rounds:
             raise ValueError(f"no target is a known domain: {model.domains}")
         warnings.warn(f"no labelled document of {sorted(set(targets) - set(model.domains))} is left; the other targets are scaled to sum to 1")
     goal = np.array([targets.get(d, 1.0 if model.domains == ["all"] else 0.0) for d in model.domains])
+    if not goal.sum():
+        raise ValueError(f"the targets of all known domains are 0: {model.domains}")
     goal = goal / goal.sum()
     table = written(_posteriors(docs, model), "posteriors")
     mixture = Mixture(model, [], np.zeros(k))
@@ -294,9 +312,11 @@ def resample(docs: DataFrame, mixture: Mixture) -> DataFrame:
     id_at, text_at = names.index("doc_id"), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.array([shared.value.model.posterior(t)[1] for t in b.column(text_at).to_pylist()]).reshape(b.num_rows, -1)
-            n = [copies(x, i) for x, i in zip(shared.value.rates(p).tolist(), b.column(id_at).to_pylist())]
-            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+        sole(shared.value.model.memo)
+        for batch in batches:
+            for b in slices(batch, text_at):
+                _, p = shared.value.model.posteriors(b.column(text_at))
+                n = [copies(x, i) for x, i in zip(shared.value.rates(p).tolist(), b.column(id_at).to_pylist())]
+                yield b.take(pa.array(np.repeat(np.arange(b.num_rows), n)))
 
     return docs.mapInArrow(run, docs.schema)
