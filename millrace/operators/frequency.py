@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import closure, descendant_count, leaves, roots
+from ..functions.cut import cut
+from .graph import descendant_count, leaves, roots
 
 #: Refreshes a week by level (fixed values).
 MULTIPLIERS = {1: 1, 2: 7, 3: 168}
@@ -35,14 +36,28 @@ def listed_leaves(edges: DataFrame) -> DataFrame:
     return leaves(edges).filter(~F.col("node").startswith("model.elementary.") & ~F.col("node").startswith("test."))
 
 
+def _spread(edges: DataFrame, start: DataFrame, near: str, far: str) -> DataFrame:
+    """(node, level): the largest level that reaches a node along the edges, one step a round, only where it grows."""
+    step = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
+    found = cut(start.groupBy("node").agg(F.max("level").alias("level")))
+    grown = found
+    while True:
+        reached = grown.join(step, "node").groupBy(F.col("next").alias("node")).agg(F.max("level").alias("level"))
+        known = found.select("node", F.col("level").alias("before"))
+        grown = cut(reached.join(known, "node", "left").filter("before is null or level > before").select("node", "level"))
+        if grown.isEmpty():
+            return found
+        found = cut(found.union(grown).groupBy("node").agg(F.max("level").alias("level")))
+
+
 def change_frequency(edges: DataFrame, root_levels: DataFrame) -> DataFrame:
     """(node, change): the largest level among a node's roots, which flows downstream."""
-    return closure(edges).join(root_levels.select(F.col("node").alias("ancestor"), "level"), "ancestor").groupBy("node").agg(F.max("level").alias("change"))
+    return _spread(edges, root_levels.select("node", "level"), "parent", "child").withColumnRenamed("level", "change")
 
 
 def use_frequency(edges: DataFrame, leaf_levels: DataFrame) -> DataFrame:
     """(node, use): the largest level among a node's consumers, which flows upstream."""
-    return closure(edges).join(leaf_levels, "node").groupBy(F.col("ancestor").alias("node")).agg(F.max("level").alias("use"))
+    return _spread(edges, leaf_levels.select("node", "level"), "child", "parent").withColumnRenamed("level", "use")
 
 
 def real_frequency(change: DataFrame, use: DataFrame) -> DataFrame:
