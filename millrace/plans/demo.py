@@ -72,6 +72,15 @@ CROSS JOIN (SELECT p_size FROM {{ ref('stg_part') }} WHERE p_size <= 3) AS s GRO
     "mart_full_outer": """SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers
 FROM (SELECT s_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM {{ source('supplier') }} GROUP BY s_nationkey) AS a
 FULL JOIN (SELECT c_nationkey AS k, CAST(count(*) AS BIGINT) AS n FROM {{ ref('stg_customer') }} WHERE c_acctbal > 5000 GROUP BY c_nationkey) AS b ON a.k = b.k""",
+    "mart_star_using": """SELECT * FROM (SELECT o_orderkey, o_custkey FROM {{ ref('stg_orders') }} WHERE o_totalprice > 350000) AS big
+JOIN (SELECT c_custkey AS o_custkey, c_mktsegment FROM {{ ref('stg_customer') }}) AS seg USING (o_custkey)""",
+    "mart_right_cube": """SELECT n.r_name, c.c_mktsegment, CAST(count(c.c_custkey) AS BIGINT) AS n FROM {{ ref('stg_customer') }} AS c
+RIGHT JOIN {{ ref('stg_nation') }} AS n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9500 GROUP BY CUBE (n.r_name, c.c_mktsegment)""",
+    "mart_running": """SELECT o_custkey, o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS running
+FROM {{ ref('stg_orders') }} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+    "mart_named_values": """SELECT v.label, CAST(count(*) AS BIGINT) AS n FROM {{ ref('stg_orders') }} AS o
+JOIN (VALUES ('1-URGENT', 'now'), ('2-HIGH', 'soon')) AS v(priority, label) ON o.o_orderpriority = v.priority GROUP BY v.label""",
     "mart_top_parts": """SELECT p_partkey, p_name, p_retailprice FROM {{ ref('stg_part') }} ORDER BY p_retailprice DESC, p_partkey LIMIT 25""",
 }
 
