@@ -258,7 +258,7 @@ def test_frequency_profile_rules(spark):
     p = frequency.frequency_profile(e, "mixed_cadence", seed=1)
     assert {r["node"]: r["level"] for r in p["root_levels"].collect()}["r1"] != 3
     levels = [r["level"] for r in p["leaf_levels"].collect()]
-    assert len(levels) == 60 and levels.count(1) == 18 and levels.count(3) == 18
+    assert len(levels) == 60 and levels.count(1) == 6 and levels.count(2) == 15 and levels.count(3) == 39
     assert listed(frequency.assign_levels(names(spark, "a", "b", "c"), (0.34, 0.33, 0.33), 1, "last")) == ["a", "b", "c"]
     assert triggers.trigger_for(3) == {"processingTime": "1 hour"}
 
