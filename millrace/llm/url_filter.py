@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 _AUTHORITY = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -50,40 +52,54 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(matched: DataFrame, *by: str, name: str) -> DataFrame:
-    return matched.groupBy(*by).agg(F.collect_list(F.struct("category", "key", "valid_from", "valid_to")).alias(name))
+def _dealt(rules: DataFrame, span: Column, first: Column, last: Column) -> DataFrame:
+    """Rules once for each stretch of time in which they hold, between the first and the last capture."""
+    start = F.greatest(span(F.col("valid_from")), first)
+    end = F.least(span(F.coalesce(F.col("valid_to"), F.col("latest"))), last)
+    return rules.withColumn("stretch", F.explode(F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>"))))
 
 
-def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, stretch_days: int = 30) -> DataFrame:
     """Every capture (id, url, fetched_at) against the entries active at its time.
 
     Returns id, host, blocked, n_rules, categories (array, sorted) and active_since (the latest
     start among the matching intervals).
+
+    The captures are read once, to a narrow table. Rules meet the distinct hosts and paths first; then captures meet
+    their hosts' and paths' intervals by stretches of ``stretch_days``, so that a hot host is dealt by time and the
+    join can split what is left.
     """
+    url = F.col("url")
+    c = captures.select(F.monotonically_increasing_id().alias("row"), "id", "fetched_at", host_of(url).alias("host"), path_of(url).alias("path"))
+    c = written(c, "captures")
+    at = F.col("fetched_at")
+
+    def span(x: Column) -> Column:
+        return F.floor(F.unix_timestamp(x.cast("timestamp")) / F.lit(86400 * stretch_days)).cast("long")
+
+    c = c.withColumn("stretch", span(at))
     rules = intervals(entries)
-    c = captures.select("id", "fetched_at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    range_ = c.agg(F.min("stretch").alias("low"), F.max("stretch").alias("high"), F.max("fetched_at").alias("latest"))  # one row
+    rules = rules.join(F.broadcast(range_))
+    rules = written(_dealt(rules, span, F.col("low"), F.col("high")).select("key", "category", "valid_from", "valid_to", "stretch"), "rules")
     hosts = c.select("host").filter("host is not null").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
     )
-    by_host = _grouped(hosts.select("host", F.explode(suffixes).alias("key")).join(rules.filter(~F.col("key").contains("/")), "key"), "host", name="host_rules")
+    by_host = hosts.select("host", F.explode(suffixes).alias("key")).join(rules.filter(~F.col("key").contains("/")), "key")
     paths = rules.filter(F.col("key").contains("/"))
     path_hosts = paths.select(F.substring_index("key", "/", 1).alias("host")).distinct()
     segments = F.split("path", "/+")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat("host", F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
     targets = c.select("host", "path").filter("host is not null and path <> ''").distinct().join(path_hosts, "host", "left_semi")
-    by_path = _grouped(
-        targets.select("host", "path", F.explode(prefixes).alias("key")).withColumn("key", F.lower("key")).join(paths, "key"), "host", "path", name="path_rules"
-    )
-    joined = c.join(by_host, "host", "left").join(by_path, ["host", "path"], "left")
-    none = F.array().cast(by_host.schema["host_rules"].dataType)
-    found = F.filter(
-        F.concat(F.coalesce("host_rules", none), F.coalesce("path_rules", none)),
-        lambda r: (F.col("fetched_at") >= r["valid_from"]) & (r["valid_to"].isNull() | (F.col("fetched_at") < r["valid_to"])),
+    by_path = targets.select("host", "path", F.explode(prefixes).alias("key")).withColumn("key", F.lower("key")).join(paths, "key")
+    active = (at >= F.col("valid_from")) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
+    found = c.join(by_host, ["host", "stretch"]).filter(active).select("row", "category", "valid_from").union(
+        c.join(by_path, ["host", "path", "stretch"]).filter(active).select("row", "category", "valid_from")
     )
-    return joined.withColumn("active", found).select(
-        "id", "host", (F.size("active") > 0).alias("blocked"), F.size("active").cast("long").alias("n_rules"),
-        F.array_sort(F.array_distinct(F.transform("active", lambda r: r["category"]))).alias("categories"),
-        F.array_max(F.transform("active", lambda r: r["valid_from"])).alias("active_since"),
+    each = found.groupBy("row").agg(F.count("*").alias("n"), F.collect_set("category").alias("categories"), F.max("valid_from").alias("active_since"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return c.join(each, "row", "left").select(
+        "id", "host", (n > 0).alias("blocked"), n.alias("n_rules"), F.array_sort(F.coalesce("categories", F.array().cast("array<string>"))).alias("categories"), "active_since"
     )
