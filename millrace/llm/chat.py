@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 OPEN, MID, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
 _CONTROL = r"(/?s>|/?INST\])"
@@ -54,6 +54,7 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     first = written(links, "chat-up")
     nodes_most = first.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     # ``rounds`` keeps the messages whose pointer has not passed their root; the others are done.
+    tables = [first]
     rounds, done = [first.filter("up is not null")], [first.filter("up is null")]
     while 2 ** (len(rounds) - 1) <= nodes_most and rounds[-1].limit(1).count():
         s, ended = rounds[-1], done[0]
@@ -66,6 +67,7 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
             ),
             "chat-up",
         )
+        tables.append(nxt)
         rounds.append(nxt.filter("up is not null"))
         done.append(nxt.filter("up is null"))
     whole = done[0]
@@ -79,12 +81,13 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("branch_score"), F.col("steps").alias("pos"), "node")
     path = written(path, "chat-path")
-    for k, s in enumerate(rounds[:-1]):
+    for k, s in enumerate(rounds[:-1]):  # each round writes what it adds: the plan would double
         up = s.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         higher = path.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select(
             "tree", "leaf", "rank", "branch_score", (F.col("pos") - 2**k).alias("pos"), F.col("up").alias("node")
         )
-        path = written(path.union(higher), "chat-path")  # cut each round: the plan would double
+        path = path.union(written(higher, "chat-path"))
+    drop_written(m.sparkSession, *tables)
     body = m.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     return path.join(body, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).select(
         "tree", "leaf", "rank", "branch_score", "pos", "role", "text"
