@@ -72,8 +72,9 @@ class Tree:
         return out
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of ``dim`` numbers, stored as they came (floats or doubles), as unit vectors in double precision."""
+    v = np.frombuffer(b"".join(raw), dtype="<f4" if len(raw[0]) == 4 * dim else "<f8").reshape(len(raw), -1).astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -82,23 +83,25 @@ def build_forest(sample: pd.DataFrame, sizes: dict, trees: int, leaf: int, spill
     """Trees for each (label, length) of the sample."""
     forest = {}
     for k, (key, some) in enumerate(sorted(sample.groupby(["label", "dim"], sort=True), key=lambda x: str(x[0]))):
-        v = unit(list(some["vector"]))
+        v = unit(list(some["vector"]), key[1])
         forest[key] = [Tree(v, sizes.get(key, len(v)), leaf, spill, [seed, k, t]) for t in range(trees)]
     return forest
 
 
 def _pack(rows: DataFrame) -> DataFrame:
-    """Vectors as little-endian doubles."""
+    """Vectors as little-endian floats if they are floats, else as doubles."""
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+    code, element = ("<f4", "float") if kind == "float" else ("<f8", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<f8")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(code)
             raw = [flat[i:j].tobytes() for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw, pa.binary()), b.column(4)], names=["label", "dim", "rep", "vector", "copies"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.select("label", "dim", "rep", F.col("embedding").cast("array<double>").alias("embedding"), "copies").mapInArrow(
+    return rows.select("label", "dim", "rep", F.col("embedding").cast(f"array<{element}>").alias("embedding"), "copies").mapInArrow(
         run, f"label {kind}, dim int, rep bigint, vector binary, copies bigint"
     )
 
@@ -107,8 +110,11 @@ def link_table(reps: DataFrame, threshold: float, trees: int, leaf: int, spill:
     """For each representative with a link: ``id``, ``links`` (copies weighted) and ``root`` of its local component."""
     spark = reps.sparkSession
     packed = written(_pack(reps), "vectors")
-    sizes = {(r["label"], r["dim"]): r["n"] for r in packed.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()}
     picked = packed.orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()
+    # Sizes of the groups that the sample holds: no more of them than vectors in it.
+    seen = spark.createDataFrame(picked[["label", "dim"]].drop_duplicates(), packed.select("label", "dim").schema)
+    counted = packed.join(F.broadcast(seen), ["label", "dim"]).groupBy("label", "dim").agg(F.count("*").alias("n")).collect() if len(picked) else []
+    sizes = {(r["label"], r["dim"]): r["n"] for r in counted}
     forest = spark.sparkContext.broadcast(build_forest(picked, sizes, trees, leaf, spill, seed) if len(picked) else {})
     kind = packed.schema["label"].dataType.simpleString()
 
@@ -117,7 +123,7 @@ def link_table(reps: DataFrame, threshold: float, trees: int, leaf: int, spill:
             d = b.to_pandas()
             out = []
             for key, some in d.groupby(["label", "dim"]):
-                v = unit(list(some["vector"]))
+                v = unit(list(some["vector"]), key[1])
                 grown = forest.value.get(key)
                 hits = [t.place(v) for t in grown] if grown else [[(np.arange(len(v)), 1)]] + [[] for _ in range(trees - 1)]
                 codes: list[list[tuple[int, int]]] = [[] for _ in range(len(v))]
@@ -149,7 +155,7 @@ def link_table(reps: DataFrame, threshold: float, trees: int, leaf: int, spill:
     def compare(key, d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("rep")
         number, a, b = key[2], key[3], key[4]
-        v, rep, copies = unit(list(d["vector"])), d["rep"].to_numpy(), d["copies"].to_numpy()
+        v, rep, copies = unit(list(d["vector"]), key[1]), d["rep"].to_numpy(), d["copies"].to_numpy()
         codes = [np.frombuffer(c, dtype="<i8") for c in d["codes"]]
         own = d["own"].to_numpy()
         width = max(map(len, codes))
