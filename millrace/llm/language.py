@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import WordMemo, slices, sole
+
 CELLS = 1 << 16
-MEMO_ENTRIES = 700_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -31,8 +32,9 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every letter of every word (blank-bounded): word number, and cells of its 1-, 2- and 3-gram."""
+def cells(words: list[str]) -> tuple[np.ndarray, ...]:
+    """For every letter of every word (blank-bounded): word number, cells of its 1-, 2- and 3-gram, of the letter and of the two letters
+    before it (-1 at a word's beginning). Nothing depends on the words around a word."""
     joined = " " + "".join(w + " " for w in words)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     one = c * 2654435761 % 4294967291
@@ -40,10 +42,13 @@ def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     previous = np.r_[32, c[:-1]]
     lead = np.where(previous == 32, 32, np.r_[32, 32, c[:-2]][: len(c)])  # nothing reaches over a blank
     three = ((lead * 1000003 + previous) * 1000003 + c) * 2654435761 % 4294967291
+    before = (lead * 1000003 + previous) * 2654435761 % 4294967291 % CELLS
+    before = np.where(previous == 32, -1, before)
+    single = previous * 2654435761 % 4294967291 % CELLS
     number = np.cumsum(c == 32) - 1
     number = np.where(c == 32, number - 1, number)  # a closing blank belongs to its word
     keep = np.arange(len(c)) > 0
-    return number[keep], one[keep] % CELLS, two[keep] % CELLS, three[keep] % CELLS
+    return number[keep], one[keep] % CELLS, two[keep] % CELLS, three[keep] % CELLS, single[keep], before[keep]
 
 
 class LanguageModel:
@@ -54,44 +59,20 @@ class LanguageModel:
         if languages:
             one = (counts[:, 0] + 0.05) / (counts[:, 0].sum(1, keepdims=True) + 0.05 * 400)
             self.counts, self.one = counts.astype(np.float32), one.astype(np.float32)
-        self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, max(1, len(languages))))
-
-    def __getstate__(self):
-        state = dict(self.__dict__)
-        state.update(_row={}, _table=np.zeros((1024, max(1, len(self.languages)))))
-        return state
+        self.memo = WordMemo(max(1, len(languages)), self.log_probabilities)
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        number, a, b, c = cells(words)
-        # Contexts: the bigram's first letter, the trigram's first two; as counts of the shorter gram before.
-        a0, b0 = np.r_[a[:1], a[:-1]], np.r_[b[:1], b[:-1]]
+        # Contexts: the bigram's first letter, the trigram's first two; at a word's beginning the blank alone.
+        number, a, b, c, a0, b0 = cells(words)
         out = np.zeros((len(words), len(self.languages)))
         for k in range(len(self.languages)):
             n1, n2, n3 = self.counts[k]
             p1 = self.one[k][a]
             p2 = (n2[b] + 5 * p1) / (n1[a0] + 5)
-            p3 = (n3[c] + 5 * p2) / (np.maximum(n2[b0], n3[c]) + 5)
+            p3 = (n3[c] + 5 * p2) / (np.maximum(np.where(b0 < 0, n1[a0], n2[b0]), n3[c]) + 5)
             out[:, k] = np.bincount(number, weights=np.log(np.minimum(p3, 1.0)), minlength=len(words))[: len(words)]
         return out
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        found = list(map(self._row.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, f in zip(words, found) if f is None))
-            if len(self._row) + len(new) > MEMO_ENTRIES:
-                self._row.clear()
-                new = list(dict.fromkeys(words))
-            at = len(self._row)
-            if at + len(new) > len(self._table):
-                grown = np.zeros((2 * (at + len(new)), len(self.languages)))
-                grown[:at] = self._table[:at]
-                self._table = grown
-            self._table[at : at + len(new)] = self.log_probabilities(new)
-            self._row.update(zip(new, range(at, at + len(new))))
-            found = list(map(self._row.__getitem__, words))
-        return self._table[found]
-
     @staticmethod
     def _mixture(lp: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
         """Proportions of the columns by EM, and the log likelihood."""
@@ -110,14 +91,22 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """Language of the largest proportion, a score, and the proportions of the chosen set."""
-        words = words_of(text)
-        if not words or not self.languages:
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
+        listed = [words_of(t) if self.languages else [] for t in texts]
+        rows = self.memo.rows(pa.array([w for words in listed for w in words], pa.string()))
+        ends = np.cumsum([len(words) for words in listed])
+        return [self._mixed(lp) for lp in np.split(rows, ends[:-1])] if listed else []
+
+    def _mixed(self, lp: np.ndarray) -> tuple[str, float, dict[str, float]]:
+        """The result of a text's words' log probabilities."""
+        if not len(lp):
             return UNKNOWN, 0.0, {}
-        lp = self._rows(words)
         alone = lp.sum(axis=0)
         chosen = [int(np.argmax(alone))]
         share, fit = np.ones(1), float(alone[chosen[0]])
-        cost = self.penalty * np.log(len(words) + 1.0)
+        cost = self.penalty * np.log(len(lp) + 1.0)
         while len(chosen) < len(self.languages):
             base = lp[:, chosen].max(axis=1)
             best = None
@@ -160,7 +149,7 @@ def fit(labelled: DataFrame, per_language: int = 2000) -> LanguageModel:
                 words = words_of(text)
                 if words:
                     mine = sums.setdefault(lang, np.zeros(3 * CELLS, dtype=np.int64))
-                    _, *grams = cells(words)
+                    grams = cells(words)[1:4]
                     for order, g in enumerate(grams):
                         mine += np.bincount(g + order * CELLS, minlength=3 * CELLS)
         for lang, mine in sums.items():
@@ -183,8 +172,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 786 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
+        sole(shared.value.memo)
+        for batch in (some for whole in batches for some in slices(whole, 1)):
+            got = shared.value.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
@@ -203,8 +193,9 @@ def keep(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+        sole(shared.value.memo)
+        for batch in (some for whole in batches for some in slices(whole, at)):
+            got = shared.value.predict_all(batch.column(at).to_pylist())
             yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
