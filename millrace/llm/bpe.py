@@ -17,8 +17,10 @@ import hashlib
 import heapq
 import json
 import re
+import warnings
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import MEMO_KEPT, MEMO_WORDS, slices, sole
+
 #: GPT-2 style pre-token pattern of byte-level BPE files (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries kept in a worker's memo of chunks; it is emptied when full, results do not depend on it.
-MEMO_ENTRIES = 700_000
-
 
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of every byte in a byte-level vocabulary file."""
@@ -46,6 +47,7 @@ class ForcedBoundaryBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._expect(spec)
         as_byte = {c: b for b, c in byte_alphabet().items()}
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -75,6 +77,18 @@ class ForcedBoundaryBPE:
         )
         self._pre = regex.compile(PRE_TOKEN)
         self._gap = re.compile(r"\s\s|^\s|\s\Z")
+        self.forget()
+
+    @staticmethod
+    def _expect(spec: dict) -> None:
+        """Other files would give other ids: byte-level pre-tokens by the pattern above, plain merges, no normalizer."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or odd or model.get("type", "BPE") != "BPE":
+            raise ValueError(f"not a byte-level BPE file that this encoder can follow: pre-tokenizer {pre}, normalizer {spec.get('normalizer')}, {odd}")
+
+    def forget(self) -> None:
+        """Empty the memos of fragments and chunks; results do not depend on them."""
         self._fragments: dict[bytes, bytes] = {}
         self._spaced: dict[str, bytes] = {}
 
@@ -87,7 +101,10 @@ class ForcedBoundaryBPE:
 
         ranks = {self.token_bytes[i]: i for i in [*self.byte_ids, *made]}
         core = tiktoken.Encoding(path, pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        return getattr(core, "_encode_single_piece", self.merge)
+        if not hasattr(core, "_encode_single_piece"):
+            warnings.warn("this tiktoken has no merger of single pieces; fragments are merged in Python, which is slower")
+            return self.merge
+        return core._encode_single_piece
 
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at every pair of bytes that no token holds."""
@@ -148,8 +165,8 @@ class ForcedBoundaryBPE:
         if found is None:
             found = array("i", self._single(raw)).tobytes()
             if len(raw) <= 64:
-                if len(self._fragments) >= MEMO_ENTRIES:
-                    self._fragments.clear()
+                if len(self._fragments) >= MEMO_WORDS:
+                    self._fragments = dict(islice(self._fragments.items(), MEMO_KEPT))
                 self._fragments[raw] = found
         return found
 
@@ -163,8 +180,8 @@ class ForcedBoundaryBPE:
     def _spaced_ids(self, chunk: str) -> bytes:
         found = self._chunk_ids(" " + chunk)
         if len(chunk) <= 64:
-            if len(self._spaced) >= MEMO_ENTRIES:
-                self._spaced.clear()
+            if len(self._spaced) >= MEMO_WORDS:
+                self._spaced = dict(islice(self._spaced.items(), MEMO_KEPT))
             self._spaced[chunk] = found
         return found
 
@@ -230,7 +247,8 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        sole(bpe)
+        for batch in (some for whole in batches for some in slices(whole, 1)):
             n, digests, decoded, values = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text)
