@@ -84,12 +84,31 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op3_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents
+), s AS (
+    SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g
+    FROM w
+), t AS (SELECT r, unnest(g) AS g FROM s),
+hot AS (SELECT g FROM t GROUP BY g HAVING count(*) > 1), h AS (SELECT t.r, t.g FROM t JOIN hot ON hot.g = t.g),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS n FROM h x JOIN h y ON x.g = y.g AND x.r <> y.r GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * n >= 75 * (len(x.g) + len(y.g) - n)),
+p(r, q) AS (SELECT r, r FROM s UNION SELECT p.r, e.b FROM p JOIN e ON e.a = p.q)
+SELECT s.doc_id, len(s.g)::INT AS n_shingles, min(o.doc_id) AS component_id FROM s JOIN p ON p.r = s.r JOIN s o ON o.r = p.q GROUP BY s.r, s.doc_id, len(s.g)
+"""
+
+
 def dated_list(pages: DataFrame) -> DataFrame:
     """A dated blocklist over the hosts of the pages: additions, removals, returns, by host, domain and section."""
     hosts = (
         pages.select(url_filter.host_of(F.col("url")).alias("host"), "page_id").filter("host is not null")
         .groupBy("host").agg(F.min("page_id").alias("m"), F.count("*").alias("c"))
     )
+    hosts = written(hosts, "hosts")  # read five times below
     kind = F.element_at(F.array(F.lit("spam"), F.lit("adult"), F.lit("malware")), (F.col("m") % 3 + 1).cast("int"))
 
     def rows(where: str, key, category, day, action: str) -> DataFrame:
@@ -183,6 +202,21 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label; the forest finds all of these links on the small tables.
+ORACLE_SQL["op8_embedding_neardup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (
+    SELECT r, label, e, sqrt(list_dot_product(e, e)) AS size FROM v
+    WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+l AS (SELECT x.r AS a, y.r AS b FROM g x JOIN g y ON x.label = y.label AND len(x.e) = len(y.e) AND x.r <> y.r AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.93),
+p(r, q) AS (SELECT r, r FROM v UNION SELECT p.r, l.b FROM p JOIN l ON l.a = p.q),
+c AS (SELECT p.r, min(v.vec_id) AS component_id FROM p JOIN v ON v.r = p.q GROUP BY p.r),
+n AS (SELECT a AS r, count(*)::BIGINT AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced-boundary BPE of every text: counts and digests of ids and of the decoded text."""
