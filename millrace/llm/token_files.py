@@ -15,16 +15,23 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memo of chunks; emptied when full, results do not depend on it.
-MEMO_ENTRIES = 700_000
+from .words import slices, sole
+
+#: Chunks that a worker's memo keeps (under 150 MB), and their greatest length. A full memo forgets all but its first third.
+MEMO_CHUNKS, MEMO_CHARS = 700_000, 64
+#: A stop or comma behind a Latin letter that normalizers keep a single letter (not the dotted capital I), before a blank.
+_STOP = r"([A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{012F}\x{0131}-\x{017F}])([.,])(\s|$)"
 #: Parquet settings: 32 MB row groups, pages of at most 256 KB or 2,000 rows, page indexes.
 FILE_OPTIONS = {
     "compression": "zstd",
@@ -57,6 +64,10 @@ class ChunkEncoder:
         self._lib.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
         self.chunkable = self._drops_blanks(spec)
+        # Letters are lower-cased, mapped to themselves and merged: a word of ASCII letters may be lower-cased and merged alone.
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = [p.get("type") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.lowers = self.chunkable and steps == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"] and spec["model"].get("type") == "BPE"
         self._memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -67,49 +78,71 @@ class ChunkEncoder:
         pattern = (first.get("pattern") or {}).get("Regex", "")
         return first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def _learn(self, chunks: set[str]) -> None:
-        memo = self._memo
-        if len(memo) + len(chunks) > MEMO_ENTRIES:
-            memo.clear()
+    def forget(self) -> None:
+        self._memo = {}
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks: the library's merges for words of ASCII letters, which are one pre-token each, all of it for others."""
+        memo, tokenize = self._memo, self._lib.model.tokenize
+        if len(memo) + len(chunks) > MEMO_CHUNKS and len(memo) > MEMO_CHUNKS // 3:
+            memo = self._memo = dict(islice(memo.items(), MEMO_CHUNKS // 3))  # the first, which are the common ones
         memo[""] = b""
-        stops, plain = [], set()
+        out: dict[str, bytes] = {}
+        rest = []
         for c in chunks:
-            if len(c) > 1 and c[-1] in ".," and c[:-1].isalpha():
-                stops.append(c)
-                plain.update((c[:-1], c[-1]))
-            else:
-                plain.add(c)
-        todo = [c for c in plain if c not in memo]
-        for k in range(0, len(todo), 4000):
-            part = todo[k : k + 4000]
+            if self.lowers and c.isascii() and c.isalpha():
+                out[c] = array("i", [t.id for t in tokenize(c)]).tobytes()
+            elif c:
+                rest.append(c)
+        for k in range(0, len(rest), 8000):
+            part = rest[k : k + 8000]
             found = self._lib.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<i4")
-            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
-            at = np.searchsorted([a for a, _ in found.offsets], starts)
-            raw = ids.tobytes()
-            for j, c in enumerate(part):
-                memo[c] = raw[4 * at[j] : 4 * at[j + 1]]
-        for c in stops:
-            memo[c] = memo[c[:-1]] + memo[c[-1]]
+            raw = np.array(found.ids, dtype="<i4").tobytes()
+            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            starts = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
+            at = (4 * np.searchsorted(begins, starts)).tolist()
+            out.update((c, raw[i:j]) for c, i, j in zip(part, at, at[1:]))
+        memo.update((c, ids) for c, ids in out.items() if len(c) <= MEMO_CHARS)
+        out[""] = b""
+        return list(map(out.__getitem__, chunks))
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        found = list(map(self._memo.get, chunks))
+        if None in found:
+            new = iter(self._learn([c for c, f in zip(chunks, found) if f is None]))
+            found = [next(new) if f is None else f for f in found]
+        return found
+
+    def encode_array(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, with ``end`` behind each, and all ids (int32) in turn."""
+        texts = pc.fill_null(texts, "")
+        if not self.chunkable:
+            found = self._lib.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            each = [np.array(e.ids, dtype="<i4").tobytes() + end for e in found]
+            return np.array([len(x) // 4 for x in each], np.int64), np.frombuffer(b"".join(each), "<i4")
+        if not len(texts):
+            return np.empty(0, np.int64), np.empty(0, "<i4")
+        # A stop or comma between such a letter and a blank is a pre-token of its own.
+        texts = pc.replace_substring_regex(texts, _STOP, r"\1 \2\3")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        flat = lists.flatten()
+        if self.lowers:
+            flat = pc.if_else(pc.ascii_is_alpha(flat), pc.ascii_lower(flat), flat)
+        coded = flat.dictionary_encode()
+        raw = self._chunk_ids(coded.dictionary.to_pylist())
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(raw))
+        taken = pa.array([*raw, end], pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(order) + 1]
+        data = taken.buffers()[2]
+        ids = np.frombuffer(data, "<i4", count=int(at[-1]) // 4) if data is not None and at[-1] else np.empty(0, "<i4")
+        return np.diff(np.r_[0, at[ends + np.arange(1, len(ends) + 1)]]) // 4, ids
 
     def encode_batch(self, texts: Sequence[str | None], end: bytes = b"") -> list[bytes]:
         """Little-endian int32 ids of each text, followed by ``end``."""
-        if not self.chunkable:
-            found = self._lib.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, dtype="<i4").tobytes() + end for e in found]
-        out: list[bytes] = []
-        for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
-            found = list(map(self._memo.get, chunks))
-            if None in found:
-                self._learn({c for c, f in zip(chunks, found) if f is None})
-                found = [self._memo.get(c) if f is None else f for c, f in zip(chunks, found)]
-                if None in found:  # the memo was emptied meanwhile
-                    self._learn({c for c, f in zip(chunks, found) if f is None})
-                    found = [self._memo[c] if f is None else f for c, f in zip(chunks, found)]
-            found.append(end)
-            out.append(b"".join(found))
-        return out
+        n, ids = self.encode_array(pa.array(texts, pa.string()), end)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -141,16 +174,14 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer_path)
+        sole(encoder)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):  # bounds what Python holds at once
-                some = batch.slice(k, 512)
-                ids = encoder.encode_batch(some.column(1).to_pylist(), end)
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                starts = at + np.concatenate([[0], np.cumsum(n)[:-1]])
-                at += int(n.sum())
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            for some in slices(batch, 1, 4 << 20):  # bounds what Python holds at once
+                n, ids = encoder.encode_array(some.column(1), end)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                starts, at = at + offsets[:-1], at + int(offsets[-1])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists, *some.columns[2:]],
                     names=["doc_id", "part", "row_start", "n_tokens", "ids", *names],
