@@ -53,7 +53,9 @@ PIECE = 1 << 18
 #: those that ``SHARED`` sets of one batch hold; which ones are found changes the order, not the links.
 FREQUENT, SHARED = 500_000, 2
 #: Lists of more entries give no pairs; tokens that more sets of one batch hold are not even sent to their list.
-LONG, RUN = 100, 64
+LONG, RUN = 16, 16
+#: Sets that share so many tokens of one bucket are joined there by a tree of links instead of all their pairs.
+STRONG = 3
 #: Two linked sets share at least ``n // SPARE`` tokens of their prefixes, and one at least.
 SPARE = 20
 #: Prefix entries of a list task, and tokens of a block of sets that is compared in one task.
@@ -69,10 +71,11 @@ class Limits(NamedTuple):
     shared: int
     long: int
     run: int
+    strong: int
 
     @classmethod
     def now(cls) -> Limits:
-        return cls(BATCH_TOKENS, BATCH_SETS, PIECE, SHARED, LONG, RUN)
+        return cls(BATCH_TOKENS, BATCH_SETS, PIECE, SHARED, LONG, RUN, STRONG)
 
 
 
@@ -318,8 +321,12 @@ def list_pairs(t: np.ndarray, s: np.ndarray, p: np.ndarray, n: np.ndarray, num:
     return pair // m, pair % m, count
 
 
-def _lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Buckets of lists to pairs (a, b, sizes, shared tokens), and long lists to entries (token, set, size, null, null)."""
+def _lists(batches: Iterator[pa.RecordBatch], num: int, den: int, lim: Limits) -> Iterator[pa.RecordBatch]:
+    """Buckets of lists to pairs (a, b, sizes, shared tokens), and long lists to entries (token, set, size, null, null).
+
+    Sets that share many tokens of the bucket make trees: their links (a, b, null, 0, null) stand for all pairs inside a tree,
+    which its component will be compared for anyway, so that a group of copies gives as many rows as it has sets.
+    """
 
     def rows(a, b, na, nb, shared) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -347,9 +354,15 @@ def _lists(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) ->
         t, p, x, mark = t[new], p[new], x[new], mark[new]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         length = np.diff(np.r_[first, len(t)])
-        long = np.repeat((length > most) | np.logical_or.reduceat(mark, first), length)
+        long = np.repeat((length > lim.long) | np.logical_or.reduceat(mark, first), length)
         short = ~long & np.repeat(length > 1, length)
         a, b, shared = list_pairs(t[short], x[short], p[short], n, num, den)
+        much = shared >= lim.strong
+        root = _forest(a[much], b[much], len(names))
+        far = np.flatnonzero(root != np.arange(len(root)))
+        yield rows(names[far], names[root[far]], pa.nulls(len(far), pa.int32()), np.zeros(len(far), np.int32), pa.nulls(len(far), pa.int64()))
+        open_ = root[a] != root[b]
+        a, b, shared = a[open_], b[open_], shared[open_]
         yield rows(names[a], names[b], n[a], n[b], shared)
         x, t = x[long & ~mark], t[long & ~mark].astype(np.int64)
         yield rows(bucket << 32 | t, names[x], n[x], pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int64()))
@@ -575,10 +588,11 @@ def _candidates(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], total: int,
     frequent, lim = spark.sparkContext.broadcast(hot), Limits.now()
     posted = docs.select("text").mapInArrow(lambda it: _post(it, words, num, den, buckets, lim, *frequent.value), _POSTED)
     lists = posted.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    pairs = written(lists.mapInArrow(lambda it: _lists(it, num, den, lim.long), "a bigint, b bigint, na int, nb int, shared bigint"), "pairs")
+    pairs = written(lists.mapInArrow(lambda it: _lists(it, num, den, lim), "a bigint, b bigint, na int, nb int, shared bigint"), "pairs")
 
     # How many tokens of long lists a set's prefix has, and the sets whose links could rest on them alone.
-    long = pairs.filter("shared is null").select(F.col("a").alias("t"), F.col("b").alias("sid"), F.col("na").alias("n"))
+    trees = pairs.filter("na is null").select("a", "b")
+    long = pairs.filter("shared is null and na is not null").select(F.col("a").alias("t"), F.col("b").alias("sid"), F.col("na").alias("n"))
     often = written(long.groupBy("sid").agg(F.max("n").alias("n"), F.count("*").alias("often")), "often")
     alone = often.filter(F.col("often") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(SPARE)))).select("sid")
     runs = written(long.join(alone, "sid", "left_semi").select("t", "sid", "n").mapInArrow(lambda it: _runs(it, num, den, lim.batch_tokens), "t bigint, a bigint, b bigint, hi bigint"), "runs")
@@ -599,7 +613,7 @@ def _candidates(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], total: int,
         more = often.select(F.col("sid").alias(end), F.col("often").alias(f"often_{end}"))
         open_ = open_.join(more, end)
     open_ = open_.filter("shared + least(often_a, often_b) >= least")
-    found = written(connected_components(sure.select("a", "b").union(open_.select("a", "b")).union(chained)), "candidates")
+    found = written(connected_components(sure.select("a", "b").union(open_.select("a", "b")).union(chained).union(trees)), "candidates")
     drop_written(spark, runs)
     drop_written(spark, often)
     drop_written(spark, pairs)
