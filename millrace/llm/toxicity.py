@@ -4,11 +4,11 @@ The instance is a sentence, seen through its words: a sentence is as toxic as it
 word, and a document as its sentences. Words (with marks at both ends; inner punctuation removed;
 runs of single spaced letters joined) are compared by the gap-weighted subsequence kernel, so
 that ``idiot``, ``id-iot`` and ``idxiot`` share subsequences. Landmark words span the Nystroem
-feature space in which a linear SVM (squared hinge) is trained. It sees words, not sentences: of a
-toxic document the words whose character n-grams (stems) mark toxic documents off from clean ones
-are positive, whole and with a letter put in; negative are the commonest words of clean documents
-and all their words close to a stem (others are no evidence whatever the fit). Stems, and landmarks
-with them, are added until every toxic row that holds a marking n-gram is covered. A logistic
+feature space in which a linear SVM (squared hinge) is trained; every word is scored by it. It sees words, not
+sentences: of a toxic document the words whose character n-grams (stems) mark toxic documents off from clean ones
+are positive, whole and ``insertions`` times with a letter put in; negative are the ``frequent_words`` commonest words of clean
+documents, their words most like a stem and, for ``rounds`` rounds, all their words that the fit takes for insults
+or nearly. Stems, and landmarks with them, are added until every toxic row that holds a marking n-gram is covered. A logistic
 function of a document's strongest words gives the score; it is fitted on values of SVMs that have
 not seen the row (folds; with few rows of the same SVM), on toxic rows both as they are and with inserted letters.
 
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import WordMemo, slices, sole, split_words
+
 ORDER, DECAY, WINDOW = 3, 0.6, 20
 SIZES = (4, 5, 6, 7, 8)  # of the marking n-grams, word marks included
-MEMO_ENTRIES = 700_000
 #: Decision value of a word without evidence, and the value beyond which more is no more evidence.
 NONE, SURE = -2.0, 2.0
 _INNER = re.compile(r"[\W_]+")
@@ -51,18 +52,21 @@ def canonical(token: str) -> str:
 
 def tokens_of(text: str) -> list[str]:
     """White-space tokens of a text, and joined runs of single letters."""
-    out = text.split()
-    if _SPACED.search(text):
-        out += [_INNER.sub("", m.group()) for m in _SPACED.finditer(text)]
-    return out
+    return [*text.split(), *joined_letters(text)]
+
+
+def joined_letters(text: str) -> list[str]:
+    """Runs of single spaced letters, as words."""
+    return [_INNER.sub("", m.group()) for m in _SPACED.finditer(text)]
 
 
 def encode_words(words: list[str], width: int, pad: int) -> np.ndarray:
     """Code points, one column for each word, marks at both ends."""
+    marked = [f"^{w}$"[:width] for w in words]
+    n = np.array([len(m) for m in marked], dtype=np.int64)
     out = np.full((width, len(words)), pad, dtype=np.int32)
-    for j, w in enumerate(words):
-        marked = f"^{w}$"[:width]
-        out[: len(marked), j] = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype="<i4")
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[at, np.repeat(np.arange(len(words)), n)] = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<i4")
     return out
 
 
@@ -89,57 +93,65 @@ def kernel(s: np.ndarray, t: np.ndarray, p: int = ORDER, decay: float = DECAY) -
 
 
 class WordSVM:
-    """Decision values of words."""
+    """Decision values of words.
+
+    The kernel is a product of explicit features: a word has, for every three letters in order, the decayed
+    weights of the places where it holds them. The landmarks' features stand in a table over their letters, so a word's
+    kernel with all of them, or with their weighted sum, is a sum of table entries over its own triples.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self._t = encode_words(landmarks, max(map(len, landmarks)) + 2, -1)[:, None, :]
-        self._norm = np.sqrt(np.maximum(self._self(landmarks), 1e-9))
-        gram = self._raw(landmarks) / self._norm[:, None] / self._norm[None, :]
+        marked = [f"^{w}$" for w in landmarks]
+        self.letters = np.unique(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<i4"))
+        self.norm = np.sqrt(np.maximum(self._self(landmarks), 1e-9))
+        a = len(self.letters) + 1
+        self.table = np.zeros((a**3, len(landmarks)), np.float32)
+        for m, w in enumerate(marked):
+            c = self._codes(encode_words([landmarks[m]], len(w), 0))[:, 0]
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    for k in range(j + 1, len(c)):
+                        self.table[(c[i] * a + c[j]) * a + c[k], m] += DECAY ** (k - i + 1) / self.norm[m]
+        gram = self.similarity(landmarks)
         value, vector = np.linalg.eigh(gram.astype(np.float64) + 1e-3 * np.eye(len(landmarks)))
         self.root = (vector / np.sqrt(value)) @ vector.T
         self.weight, self.bias = np.zeros(len(landmarks)), 0.0
+        self.line = np.zeros(a**3)
 
-    def watch(self, stems: list[str]) -> None:
-        """Words that share no two near subsequences with any of ``stems`` count as no evidence."""
-        self.near = np.zeros(1 << 16, dtype=np.int8)
-        codes = encode_words(stems, max(map(len, stems)) + 2, 0)
-        for h in self._triples(codes):
-            self.near[h[h >= 0]] = 1
-
-    @staticmethod
-    def _triples(c: np.ndarray) -> list[np.ndarray]:
-        """Hashes of three letters in a row, or with one letter between them; -1 past the end."""
-        out = []
-        for i, j in ((1, 2), (1, 3), (2, 3)):
-            x, y, z = c[: len(c) - 3], c[i : len(c) - 3 + i], c[j : len(c) - 3 + j]
-            out.append(np.where((x > 0) & (y > 0) & (z > 0), (x * 2654435 + y * 40503 + z * 97) & 0xFFFF, -1))
-        return out
-
-    def close(self, words: list[str]) -> np.ndarray:
-        width = max(map(len, words), default=0) + 5
-        c = encode_words(words, width, 0)
-        hits = sum(np.where(h >= 0, self.near[h], 0).sum(axis=0, dtype=np.int32) for h in self._triples(c))
-        return hits >= 2
+    def _codes(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of the landmarks' letters, 0 for any other."""
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        return np.where(self.letters[at] == points, at + 1, 0)
 
     @staticmethod
     def _self(words: list[str]) -> np.ndarray:
-        width = max(map(len, words)) + 2
-        s = encode_words(words, width, 0)
+        s = encode_words(words, max(map(len, words)) + 2, 0)
         return kernel(s[:, :, None], np.where(s == 0, -1, s)[:, :, None])[:, 0]
 
-    def _raw(self, words: list[str]) -> np.ndarray:
-        return kernel(encode_words(words, max(map(len, words)) + 2, 0)[:, :, None], self._t)
+    def _over_triples(self, words: list[str], table: np.ndarray, some: int) -> np.ndarray:
+        """Sums of table rows over the triples of words (of at most the window's length), divided by the words' norms."""
+        out = np.zeros((len(words), *table.shape[1:]), table.dtype)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        a = len(self.letters) + 1
+        for x in range(0, len(order), some):
+            at = order[x : x + some]
+            part = [words[i] for i in at]
+            c = self._codes(encode_words(part, len(part[-1]) + 2, 0))
+            total = np.zeros((len(part), *table.shape[1:]), table.dtype)
+            for i in range(len(c) - 2):
+                for j in range(i + 1, len(c) - 1):
+                    pair = (c[i] * a + c[j]) * a
+                    if pair.any():
+                        for k in range(j + 1, len(c)):
+                            total += table.dtype.type(DECAY ** (k - i + 1)) * table[pair + c[k]]
+            norm = np.sqrt(np.maximum(self._self(part), 1e-9))
+            out[at] = total / norm.reshape(-1, *[1] * (table.ndim - 1))
+        return out
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of words (of at most the window's length) to the landmarks."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for k in range(0, len(order), 512):
-            at = order[k : k + 512]
-            some = [words[i] for i in at]
-            out[at] = self._raw(some) / np.sqrt(np.maximum(self._self(some), 1e-9))[:, None] / self._norm[None, :]
-        return out
+        return self._over_triples(words, self.table, 1024)
 
     def fit(self, features: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> None:
         """Squared hinge with ridge, by accelerated gradient steps."""
@@ -154,6 +166,7 @@ class WordSVM:
             new, t2 = v - step * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
             v, w, t = new + (t - 1) / t2 * (new - w), new, t2
         self.weight, self.bias = self.root @ w[:-1], float(w[-1])
+        self.line = self.table @ self.weight
 
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision values; a word longer than the window gets the largest of its windows."""
@@ -166,12 +179,9 @@ class WordSVM:
                 for k in range(0, len(w) - WINDOW // 2, WINDOW // 2):
                     parts.append(w[k : k + WINDOW])
                     owner.append(i)
-        out = np.full(len(words), NONE)
+        out = np.full(len(words), -np.inf)
         if parts:
-            near = np.flatnonzero(self.close(parts))
-            if len(near):
-                f = self.similarity([parts[i] for i in near]) @ self.weight + self.bias
-                np.maximum.at(out, np.asarray(owner)[near], f)
+            np.maximum.at(out, np.asarray(owner), self._over_triples(parts, self.line, 8192) + self.bias)
         return out
 
 
@@ -180,38 +190,49 @@ class ToxicityModel:
 
     def __init__(self, svm: WordSVM | None, link: np.ndarray | None = None):
         self.svm, self.link = svm, link
-        self._memo: dict[str, float] = {}
+        self.memo = WordMemo(1, self._values)
 
     def __getstate__(self):
-        return {"svm": self.svm, "link": self.link, "_memo": {}}
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: its largest and second largest decision value, and how many are positive."""
-        listed = [tokens_of(t or "") for t in texts]
-        new = {t for tokens in listed for t in tokens if t not in self._memo}
-        if len(self._memo) + len(new) > MEMO_ENTRIES:
-            self._memo.clear()
-            new = {t for tokens in listed for t in tokens}
-        if new:
-            plain: dict[str, list[str]] = {}
-            for t in new:
-                plain.setdefault(canonical(t), []).append(t)
-            # A word of fewer letters than the kernel's order shares no marked insult.
-            todo = [w for w in plain if len(w) >= ORDER]
-            self._memo.update((t, -2.0) for w in plain if len(w) < ORDER for t in plain[w])
-            for w, f in zip(todo, self.svm.decide(todo).tolist()):
-                for t in plain[w]:
-                    self._memo[t] = max(NONE, min(SURE, f))
-        out = np.full((len(texts), 3), -2.0)
-        for i, tokens in enumerate(listed):
-            f = np.fromiter(map(self._memo.__getitem__, tokens), np.float64, len(tokens))
-            if len(f):
-                top = np.sort(np.partition(f, len(f) - 2)[-2:]) if len(f) > 2 else np.sort(f)
-                out[i] = top[-1], top[-2] if len(top) > 1 else -2.0, 0
-            out[i, 2] = np.log1p((f > 0).sum())
+        return {"svm": self.svm, "link": self.link}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def _values(self, tokens: list[str]) -> np.ndarray:
+        plain = [canonical(t) for t in tokens]
+        # A word of fewer letters than the kernel's order shares no marked insult.
+        different = list(dict.fromkeys(w for w in plain if len(w) >= ORDER))
+        value = dict(zip(different, np.clip(self.svm.decide(different), NONE, SURE).tolist()))
+        return np.array([value.get(w, NONE) for w in plain])
+
+    def values(self, tokens: list[str]) -> np.ndarray:
+        """Decision values of tokens, those without evidence at the least value."""
+        return self.memo.known(tokens)[:, 0]
+
+    def evidence(self, texts: pa.Array | list[str | None]) -> np.ndarray:
+        """For each text: its largest and second largest decision value, and the logarithm of how many are positive."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        flat, at = split_words(texts)
+        f, n = self.memo.rows(flat)[:, 0], np.diff(at)
+        joined = [(i, w) for i, t in enumerate(texts.to_pylist()) if t for w in joined_letters(t)]
+        if joined:
+            owner = np.r_[np.repeat(np.arange(len(n)), n), [i for i, _ in joined]]
+            f = np.r_[f, self.values([w for _, w in joined])][np.argsort(owner, kind="stable")]
+            n = np.bincount(owner, minlength=len(n))
+        some = np.flatnonzero(n)
+        out = np.tile([NONE, NONE, 0.0], (len(n), 1))
+        if len(some):
+            start = (np.cumsum(n) - n)[some]
+            out[some, 0] = top = np.maximum.reduceat(f, start)
+            best = np.flatnonzero(f == np.repeat(top, n[some]))
+            _, first = np.unique(np.repeat(some, n[some])[best], return_index=True)
+            rest = f.copy()
+            rest[best[first]] = NONE
+            out[some, 1] = np.maximum.reduceat(rest, start)
+            out[some, 2] = np.log1p(np.add.reduceat((f > 0).astype(float), start))
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         if self.svm is None:
             return np.zeros(len(texts))
         z = np.hstack([self.evidence(texts), np.ones((len(texts), 1))]) @ self.link
@@ -245,128 +266,192 @@ def gapped(w: str, rng: np.random.Generator) -> str:
     return w[:at] + "abcdefghijklmnopqrstuvwxyz0123456789"[int(rng.integers(36))] + w[at:]
 
 
-def word_svm(docs: list[tuple[set[str], str, int]], landmarks: int, rng: np.random.Generator, candidates: int = 4000) -> WordSVM | None:
-    """The SVM of (words, text, toxic) rows; None without both classes or a marking n-gram."""
-    sides = Counter(y for _, _, y in docs)
-    if not sides[0] or not sides[1]:
-        return None
-
-    held: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    of: list[np.ndarray] = []  # n-gram hashes of each toxic document
-    for words, _, y in docs:
-        held[y].update(words)
-        if y:
-            of.append(np.unique(gram_hashes(sorted(words))[0]))
-    known, held_by = np.unique(np.concatenate(of), return_counts=True)
-    known, held_by = known[held_by >= 2], held_by[held_by >= 2]
-    clean_by = np.zeros(len(known), np.int64)
-    for words, _, y in docs:
-        if not y and len(known):
-            h = np.unique(gram_hashes(sorted(words))[0])
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            clean_by[at[known[at] == h]] += 1
-    odds = np.log((held_by - 0.9) / sides[1]) - np.log((clean_by + 0.5) / (sides[0] + 1))
-
-    # Stems: n-grams that cover toxic documents not covered twice yet, the surest first.
-    best = np.argsort(-odds * held_by * (odds > 1.0), kind="stable")[:candidates]
-    best = best[odds[best] > 1.0]
-    value = {int(known[i]): float(odds[i]) for i in best}
-    wanted = np.sort(known[best])
-    where: dict[int, list[int]] = {}
-    text_of: dict[int, str] = {}
-    toxic_words = [sorted(words) for words, _, y in docs if y]
-    for i, h in enumerate(of):
-        common = np.intersect1d(h, wanted, assume_unique=True).tolist()
-        for g in common:
-            where.setdefault(g, []).append(i)
-        if any(g not in text_of for g in common):
-            h, word, start, size = gram_hashes(toxic_words[i])
-            for k in np.flatnonzero(np.isin(h, np.array(common, np.uint64))).tolist():
-                text_of.setdefault(int(h[k]), f"^{toxic_words[i][word[k]]}$"[start[k] : start[k] + size[k]])
-    weight = {text_of[g]: v for g, v in value.items() if g in text_of}
-    where = {text_of[g]: at for g, at in where.items()}
-    left = np.full(len(of), 2)
-    stems: list[str] = []
-    ranked = sorted(where, key=lambda g: (-weight[g] * len(where[g]), -len(g), g))
-    while ranked:
-        gain = {g: int((left[where[g]] > 0).sum()) * weight[g] for g in ranked}
-        top = max(ranked, key=lambda g: (gain[g], len(g), g))
+class Rows:
+    """Labelled rows for training: words of every row, and for every row the n-grams that two toxic rows at least hold."""
+
+    def __init__(self, rows: list[tuple[str | None, int]]):
+        number: dict[str, int] = {}
+        plain: dict[str, str] = {}
+        self.texts = [t or "" for t, _ in rows]
+        self.toxic = np.array([int(y) for _, y in rows], dtype=bool)
+        self.words_of: list[np.ndarray] = []
+        for text in self.texts:
+            words = set()
+            for t in set(tokens_of(text)):
+                w = plain.get(t)
+                if w is None:
+                    w = plain[t] = canonical(t)
+                if w:
+                    words.add(w)
+            self.words_of.append(np.array(sorted(number.setdefault(w, len(number)) for w in words), dtype=np.int64))
+        self.words = list(number)
+        parts = [gram_hashes(self.words[k : k + 20_000]) for k in range(0, len(self.words), 20_000)]
+        hashed = np.concatenate([np.empty(0, np.uint64), *(h for h, *_ in parts)])
+        word = np.concatenate([np.empty(0, np.int32), *((w + 20_000 * k).astype(np.int32) for k, (_, w, _, _) in enumerate(parts))])
+        start = np.concatenate([np.empty(0, np.int16), *(x.astype(np.int16) for _, _, x, _ in parts)])
+        size = np.concatenate([np.empty(0, np.int16), *(x.astype(np.int16) for *_, x in parts)])
+        del parts
+        # Only n-grams of words of toxic rows can mark.
+        seen = np.zeros(len(self.words), bool)
+        for words, y in zip(self.words_of, self.toxic):
+            if y:
+                seen[words] = True
+        wanted = np.unique(hashed[seen[word]])
+        at = np.minimum(np.searchsorted(wanted, hashed), max(0, len(wanted) - 1))
+        keep = wanted[at] == hashed if len(wanted) else np.zeros(len(hashed), bool)
+        self.gram, self.word, start, size = at[keep].astype(np.int32), word[keep], start[keep], size[keep]
+        order = np.argsort(self.word, kind="stable")
+        self.gram, self.word, start, size = self.gram[order], self.word[order], start[order], size[order]
+        self._ends = np.searchsorted(self.word, np.arange(len(self.words) + 1))
+        held = np.zeros(len(wanted), np.int64)
+        for words, y in zip(self.words_of, self.toxic):
+            if y:
+                held[self._grams(words)] += 1
+        shared = held >= 2
+        keep = shared[self.gram]
+        renamed = np.cumsum(shared) - 1
+        self.gram, self.word, start, size = renamed[self.gram[keep]].astype(np.int32), self.word[keep], start[keep], size[keep]
+        self._ends = np.searchsorted(self.word, np.arange(len(self.words) + 1))
+        first = np.zeros(int(shared.sum()), np.int64)
+        first[self.gram[::-1]] = np.arange(len(self.gram))[::-1]
+        self._place = (self.word[first], start[first], size[first])
+        self.grams_of = [self._grams(words).astype(np.int32) for words in self.words_of]
+
+    def _grams(self, words: np.ndarray) -> np.ndarray:
+        found = [self.gram[self._ends[w] : self._ends[w + 1]] for w in words.tolist()]
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def text_of(self, gram: int) -> str:
+        word, start, size = (int(x[gram]) for x in self._place)
+        return f"^{self.words[word]}$"[start : start + size]
+
+    @property
+    def grams(self) -> int:
+        return len(self._place[0])
+
+
+def cover(holds: np.ndarray, weight: np.ndarray, texts: list[str], often: int) -> list[int]:
+    """N-grams (rows of ``holds``) that cover every toxic row (columns) that any of them covers, the surest first.
+
+    The first ``often`` cover rows that are not covered twice yet, the others those that are not covered at all.
+    """
+    left = np.full(holds.shape[1], 2)
+    stems: list[int] = []
+    active = np.ones(len(holds), bool)
+    while True:
+        gain = np.where(active, (holds @ (left > 0).astype(np.float32)) * weight, 0)
+        if not (gain > 0).any():
+            return stems
+        best = gain.max()
+        top = max(np.flatnonzero(gain >= best).tolist(), key=lambda i: (len(texts[i]), texts[i]))
         stems.append(top)
-        left[where[top]] -= 1
-        if len(stems) == 2 * landmarks // 3:
+        left[holds[top] > 0] -= 1
+        if len(stems) == often:
             left = np.minimum(left, 1)  # from here on once is enough
-        ranked = [g for g in ranked if (left[where[g]] > 0).any() and g != top and g not in top]
+        active &= np.array([t not in texts[top] for t in texts])
 
-    def mark(w: str) -> float:
-        m = f"^{w}$"
-        return max((weight[g] for g in stems if g in m), default=-9.0)
 
-    marks = {w: mark(w) for w in held[1] if ORDER <= len(w) <= WINDOW}
-    positive = [w for w, v in marks.items() if v > 0 and held[0][w] * sides[1] <= 0.2 * held[1][w] * sides[0]]
-    positive.sort(key=lambda w: (-held[1][w] * marks[w], w))
-    clean = [w for w in held[0] if ORDER <= len(w) <= WINDOW]
-    if not positive or not clean:
+def word_svm(
+    rows: Rows, some: np.ndarray, landmarks: int, rng: np.random.Generator, candidates: int = 4000, frequent_words: int = 1500, insertions: int = 6, rounds: int = 3
+) -> WordSVM | None:
+    """The SVM of the rows at ``some``; None without both classes or a marking n-gram."""
+    sides = [[i for i in some.tolist() if rows.toxic[i] == y] for y in (False, True)]
+    if not sides[0] or not sides[1]:
         return None
-    clean.sort(key=lambda w: (-held[0][w], w))
-    chosen = [g.strip("^$") if len(g.strip("^$")) >= ORDER else g for g in stems]
-    watched = list(dict.fromkeys(chosen))
-    frequent, rest = clean[:1500], clean[1500:]
+    held = [np.bincount(np.concatenate([rows.words_of[i] for i in side]), minlength=len(rows.words)) for side in sides]
+    clean_by, held_by = (np.bincount(np.concatenate([rows.grams_of[i] for i in side]), minlength=rows.grams) for side in sides)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log((held_by - 0.9) / len(sides[1])) - np.log((clean_by + 0.5) / (len(sides[0]) + 1))
+    odds = np.where(held_by >= 2, odds, -np.inf)
+    marking = np.flatnonzero(odds > 1.0)
+    best = marking[np.argsort(-odds[marking] * held_by[marking], kind="stable")[:candidates]]
+    place = np.full(rows.grams + 1, -1)
+    place[best] = np.arange(len(best))
+    holds = np.zeros((len(best), len(sides[1])), np.float32)
+    for k, i in enumerate(sides[1]):
+        at = place[rows.grams_of[i]]
+        holds[at[at >= 0], k] = 1
+    texts = [rows.text_of(g) for g in best.tolist()]
+    chosen = cover(holds, odds[best], texts, 2 * landmarks // 3)
+    stems = [texts[i] for i in chosen]
+    # The surest stem of each word.
+    value = np.full(rows.grams, -9.0)
+    value[best[chosen]] = odds[best[chosen]]
+    mark = np.full(len(rows.words), -9.0)
+    np.maximum.at(mark, rows.word, value[rows.gram])
+    fits = np.array([ORDER <= len(w) <= WINDOW for w in rows.words], bool)
+    often = held[0] * len(sides[1]) <= 0.2 * held[1] * len(sides[0])
+    positive = np.flatnonzero(fits & (held[1] > 0) & (mark > 0) & often)
+    clean_words = np.flatnonzero(fits & (held[0] > 0))
+    if not len(positive) or not len(clean_words):
+        return None
+    positive = [rows.words[i] for i in sorted(positive.tolist(), key=lambda i: (-held[1][i] * mark[i], rows.words[i]))]
+    support = dict(zip(rows.words, held[1].tolist()))
+    clean = [rows.words[i] for i in sorted(clean_words.tolist(), key=lambda i: (-held[0][i], rows.words[i]))]
+    watched = list(dict.fromkeys(g.strip("^$") if len(g.strip("^$")) >= ORDER else g for g in stems))
+    frequent = clean[:frequent_words]
     room = max(landmarks - len(watched), landmarks // 3)
-    svm = WordSVM(watched)
-    svm.watch(watched)
-    close = [w for w, c in zip(rest, svm.close(rest)) if c] if rest else []
-    svm = WordSVM(list(dict.fromkeys(watched + frequent[: room // 2] + [close[i] for i in rng.permutation(len(close))[: room - room // 2]])))
-    svm.watch(watched)
-    # Words that are not close to a stem are no evidence, whatever the fit.
-    negative = list(dict.fromkeys(frequent + close))
-    inserted = [(gapped(w, rng), w, k) for i, w in enumerate(positive) if len(w) < WINDOW for k in [8 if i < 40 else 2] for _ in range(k)]
-    some = positive + [g for g, _, _ in inserted]
-    features = svm.similarity(some + negative).astype(np.float64)
-    y = np.r_[np.ones(len(some)), -np.ones(len(negative))]
-    support = np.array([held[1][w] for w in positive] + [held[1][w] / k for _, w, k in inserted], float)
-    cost = np.r_[support / support.sum(), np.full(len(negative), 1.0 / len(negative))]
-    svm.fit(features, y, cost)
-    # Clean words that the fit takes for insults weigh as much as all others.
-    f = features @ svm.weight + svm.bias
-    hard = (y < 0) & (f > -0.7)
-    if hard.any():
-        cost[hard] += 1.0 / max(hard.sum(), len(negative) // 4)
+    # Landmarks: the stems, the commonest clean words, and clean words that are most like the stems.
+    like = WordSVM(watched).similarity(clean).max(axis=1)
+    closest = [clean[i] for i in np.argsort(-like, kind="stable")[: 4 * room]]
+    svm = WordSVM(list(dict.fromkeys(watched + frequent[: room // 2] + [closest[i] for i in rng.permutation(len(closest))[: room - room // 2]])))
+    inserted = [(gapped(w, rng), w) for w in positive if len(w) < WINDOW for _ in range(insertions)]
+    weight = np.array([support[w] for w in positive] + [support[w] / insertions for _, w in inserted], float)
+    positives = svm.similarity(positive + [g for g, _ in inserted]).astype(np.float64)
+    negative = list(dict.fromkeys(frequent + closest))
+    negatives = svm.similarity(negative).astype(np.float64)
+    # All clean words are tried after each fit; those taken for insults, or nearly, join the negatives.
+    for _ in range(rounds):
+        features = np.vstack([positives, negatives])
+        y = np.r_[np.ones(len(positives)), -np.ones(len(negative))]
+        cost = np.r_[weight / weight.sum(), np.full(len(negative), 1.0 / len(negative))]
         svm.fit(features, y, cost)
+        hard = (y < 0) & (features @ svm.weight + svm.bias > -0.7)
+        if hard.any():  # as heavy as all other negatives
+            cost[hard] += 1.0 / max(hard.sum(), len(negative) // 4)
+            svm.fit(features, y, cost)
+        known = set(negative)
+        more = [w for w, v in zip(clean, svm.decide(clean).tolist()) if v > -0.7 and w not in known]
+        if not more:
+            break
+        negative += more
+        negatives = np.vstack([negatives, svm.similarity(more)])
     return svm
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 36, seed: int = 7, folds: int = 3, least: int = 60) -> ToxicityModel:
+def train(rows: list[tuple[str | None, int]], landmarks: int = 36, seed: int = 7, folds: int = 3, least: int = 60) -> ToxicityModel:
     """Fit on (text, toxic) rows: the SVM on all of them, the link on values of SVMs that have not seen the row.
 
     With fewer than ``least`` rows of a class, folds leave an SVM too little, and the link takes the SVM of all rows.
     """
-    docs = [({canonical(t) for t in tokens_of(text or "")} - {""}, text or "", int(y)) for text, y in rows]
-    svm = word_svm(docs, landmarks, np.random.default_rng(seed))
+    data = Rows(rows)
+    every = np.arange(len(rows))
+    svm = word_svm(data, every, landmarks, np.random.default_rng(seed))
     if svm is None:
         return ToxicityModel(None)
-    fold: list[int] = []
     number = Counter()
     same: dict[tuple, int] = {}
-    for words, _, y in docs:  # equal rows go to one fold
-        at = same.setdefault((frozenset(words), y), number[y] % folds)
+    fold = []
+    for words, y in zip(data.words_of, data.toxic.tolist()):  # equal rows go to one fold
+        fold.append(same.setdefault((words.tobytes(), y), number[y] % folds))
         number[y] += 1
-        fold.append(at)
+    fold = np.array(fold)
     rng = np.random.default_rng(seed)
     evidence, target = [], []
     for j in range(folds):
-        mine = [d for d, k in zip(docs, fold) if k == j]
-        if not mine:
+        mine = np.flatnonzero(fold == j)
+        if not len(mine):
             continue
-        others = [d for d, k in zip(docs, fold) if k != j] if min(number.values()) >= least else []
-        unseen = ToxicityModel(word_svm(others, landmarks, np.random.default_rng(seed)) or svm)
-        evidence.append(unseen.evidence([t for _, t, _ in mine]))
-        target += [y for _, _, y in mine]
+        others = word_svm(data, every[fold != j], landmarks, np.random.default_rng(seed)) if min(number.values()) >= least else None
+        unseen = ToxicityModel(others or svm)
+        evidence.append(unseen.evidence([data.texts[i] for i in mine]))
+        target += data.toxic[mine].astype(int).tolist()
         # Toxic rows once more, with a letter put into what the SVM takes for insults.
         broken = []
-        for _, text, y in mine:
-            if y:
-                tokens = [canonical(t) if unseen._memo.get(t, NONE) > 0 else t for t in tokens_of(text)]
-                broken.append(" ".join(gapped(t, rng) if unseen._memo.get(t, NONE) > 0 and len(t) >= ORDER else t for t in tokens))
+        for i in mine[data.toxic[mine]].tolist():
+            tokens = tokens_of(data.texts[i])
+            hit = dict(zip(tokens, (unseen.values(tokens) > 0).tolist()))
+            broken.append(" ".join(gapped(canonical(t), rng) if hit[t] and len(canonical(t)) >= ORDER else t for t in tokens))
         if broken:
             evidence.append(unseen.evidence(broken))
             target += [1] * len(broken)
@@ -401,10 +486,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: a few hundred KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(shared.value.memo)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                s = shared.value.scores(some.column(1).to_pylist())
+            for some in slices(batch, 1):
+                s = shared.value.scores(some.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
                 )
@@ -418,9 +503,9 @@ def keep(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataF
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole(shared.value.memo)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                yield some.filter(pa.array(shared.value.scores(some.column(at).to_pylist()) < threshold))
+            for some in slices(batch, at):
+                yield some.filter(pa.array(shared.value.scores(some.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,12 +25,14 @@ def test_inserted_letters_held_out(spark):
     rng = np.random.default_rng(0)
     texts = []
     for r in rows:
-        model.scores([r["text"]])
-        take = [model._memo.get(w, -2) > 0 and len(w) > 3 for w in r["text"].split()]
+        take = [v > 0 and len(w) > 3 for w, v in zip(r["text"].split(), model.values(r["text"].split()))]
         at = [1 + int(rng.integers(max(1, len(w) - 1))) for w in r["text"].split()]
         put = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), len(at))
         texts.append(" ".join(w[:i] + c + w[i:] if t else w for w, t, i, c in zip(r["text"].split(), take, at, put)))
-    assert (model.scores(texts) >= 0.7).mean() >= 0.35
+    assert (model.scores(texts) >= 0.7).mean() >= 0.55
+    clean = docs.join(labels.filter("toxic = 0"), "doc_id").filter(toxicity.fold(docs["doc_id"], 3) == 1).select("text").collect()
+    assert (model.scores([r["text"] for r in clean]) >= 0.7).mean() <= 0.02
+    assert (model.scores([r["text"] for r in rows]) >= 0.7).mean() >= 0.88
 
 
 def test_few_toxic_rows_are_still_caught(spark):
