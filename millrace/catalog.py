@@ -183,7 +183,7 @@ def idf_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TOKENS_SQL}, {_PAIRS_SQL} SELECT a, b, round(score, 9) AS score FROM pr ORDER BY score DESC, a, b LIMIT 40")
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best pairs, ties by name."""
-    return _rounded(similarity.top_pairs(similarity.jaccard_pairs(supplier_tokens(spark, sf_dir)), 40).select("a", "b", "score"), "score")
+    return _rounded(similarity.top_pairs(similarity.jaccard_pairs(supplier_tokens(spark, sf_dir), best=40), 40).select("a", "b", "score"), "score")
 
 
 _SEG_SQL = "tok AS (SELECT c_mktsegment || '/' || c_nationkey AS owner, o_orderpriority AS token, count(*)::BIGINT AS w FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL)"

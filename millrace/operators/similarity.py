@@ -1,7 +1,7 @@
 """Set and multiset similarity over ``tokens(owner, token, weight)`` DataFrames.
 
-Pairs come from a self-join on tokens after weights are summed for each owner and tokens of a
-single owner are dropped; totals of the owners are joined to the pairs, never to the tokens.
+Scored pairs come from blocks of owners that are compared with each other (:mod:`.blocks`) after weights are summed for each
+owner and token; no table of co-occurrences is made.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import bag_pairs
+
 
 def bags(tokens: DataFrame) -> DataFrame:
     """One row for each owner and token."""
@@ -22,21 +24,12 @@ def idf(tokens: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def _common(bag: DataFrame) -> DataFrame:
-    """(a, b, shared) for owners with a token in common, a < b."""
-    shared = bag.join(bag.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi")
-    x = shared.select(F.col("owner").alias("a"), "token", F.col("weight").alias("wa"))
-    y = shared.select(F.col("owner").alias("b"), "token", F.col("weight").alias("wb"))
-    return x.join(y, "token").filter("a < b").groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("shared"))
-
+def jaccard_pairs(tokens: DataFrame, at_least: float = 0.0, best: int | None = None) -> DataFrame:
+    """(a, b, shared, score): sum of minima over sum of maxima; pairs without a common token are left out.
 
-def jaccard_pairs(tokens: DataFrame, at_least: float = 0.0) -> DataFrame:
-    """(a, b, shared, score): sum of minima over sum of maxima; pairs without a common token are left out."""
-    bag = bags(tokens)
-    size = bag.groupBy("owner").agg(F.sum("weight").alias("size"))
-    p = _common(bag)
-    p = p.join(size.select(F.col("owner").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("owner").alias("b"), F.col("size").alias("sb")), "b")
-    return p.withColumn("score", F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared"))).filter(F.col("score") >= at_least).select("a", "b", "shared", "score")
+    With ``best``, pairs that are not among the so many best by score, a, b may be left out too.
+    """
+    return bag_pairs(bags(tokens), at_least, best)
 
 
 def idf_jaccard_pairs(tokens: DataFrame, at_least: float = 0.0) -> DataFrame:
