@@ -185,7 +185,7 @@ def idf_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("owner"), F.col("p_type").alias("token"))
         .agg(F.count("*").cast("double").alias("weight"))
     )
-    return _rounded(similarity.idf_jaccard_pairs(tokens), "shared", "score", digits=6)
+    return _rounded_pairs(similarity.idf_jaccard_pairs(tokens), "shared", "score", digits=6)
 
 
 @query(f"WITH {_TOKENS_SQL}, {_PAIRS_SQL} SELECT a, b, round(score, 9) AS score FROM pr ORDER BY score DESC, a, b LIMIT 40")

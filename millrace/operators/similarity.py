@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import stored
 from .blocks import bag_pairs
 
 
@@ -19,8 +20,12 @@ def bags(tokens: DataFrame) -> DataFrame:
 
 def idf(tokens: DataFrame) -> DataFrame:
     """(token, idf): ln((N + 1) / (df + 1)) + 1 over owners."""
-    n = tokens.select("owner").distinct().agg(F.count("*").alias("n"))
-    df = tokens.select("owner", "token").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    return _idf(tokens.select("owner", "token").distinct())
+
+
+def _idf(bag: DataFrame) -> DataFrame:
+    n = bag.select("owner").distinct().agg(F.count("*").alias("n"))
+    df = bag.groupBy("token").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
@@ -34,8 +39,8 @@ def jaccard_pairs(tokens: DataFrame, at_least: float = 0.0, best: int | None = N
 
 def idf_jaccard_pairs(tokens: DataFrame, at_least: float = 0.0) -> DataFrame:
     """Jaccard with weights multiplied by the token's idf; ``shared`` is the shared weight."""
-    weighted = bags(tokens).join(idf(tokens), "token").select("owner", "token", (F.col("weight") * F.col("idf")).alias("weight"))
-    return jaccard_pairs(weighted, at_least)
+    bag = stored(bags(tokens), "bags")
+    return bag_pairs(bag.join(_idf(bag), "token").select("owner", "token", (F.col("weight") * F.col("idf")).alias("weight")), at_least)
 
 
 def anchored_pairs(tokens: DataFrame, least_anchor: float = 0.0, top: int = 2000) -> DataFrame:

@@ -69,3 +69,19 @@ def test_pairs_do_not_move_by_token(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("MapInArrow")[0] and "Aggregate" not in plan.split("MapInArrow")[0]
     assert pairs.agg(F.count("*"), F.min("score")).first() == (3000 * 2999 // 2, 1.0)
+
+
+def test_idf_reads_its_tokens_once(spark):
+    """Bags, owners and document frequencies each read the tokens anew, with the joins below them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("p", "x", 2.0), ("q", "x", 1.0), ("q", "y", 1.0)], "owner string, token string, weight double")
+    got = similarity.idf_jaccard_pairs(df.mapInArrow(count, df.schema)).collect()
+    assert read.value == 3
+    y = np.log(3 / 2) + 1
+    assert [(r["a"], r["b"], r["shared"]) for r in got] == [("p", "q", 1.0)] and got[0]["score"] == pytest.approx(1 / (2 + 1 + y - 1))
