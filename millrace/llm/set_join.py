@@ -575,8 +575,9 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
 def _frequent(described: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     least = max(32, total // FREQUENT)
     each = described.filter("t is not null").select(F.explode(F.arrays_zip("t", "c")).alias("x")).select("x.t", "x.c")
-    hot = each.groupBy("t").agg(F.sum("c").alias("df")).filter(F.col("df") > least).toPandas()
-    t, df = hot["t"].to_numpy().astype(np.int64).view(np.uint64), hot["df"].to_numpy().astype(np.int64)
+    hot = each.groupBy("t").agg(F.sum("c").alias("df")).filter(F.col("df") > least).toArrow()  # no objects for rows
+    t, df = (hot.column(k).to_numpy().astype(np.int64) for k in ("t", "df"))
+    t = t.view(np.uint64)
     order = np.argsort(t)
     return t[order], df[order]
 
