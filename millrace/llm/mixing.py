@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import POWERS, WordMemo, buffer_of, mix, slices, sole, split_words
+from .words import POWERS, WordMemo, buffer_of, mix, release, slices, sole, split_words
 
 CELLS = 4096
 #: Class of a byte for a word's shape: small letters (and all beyond ASCII), capitals, digits, else itself.
@@ -141,6 +141,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = 1500) ->
     # The sample is drawn by domain; the prior's cell takes the domains' true shares.
     seen = np.array([sum(r["domain"] == d for r in rows) for d in domains], float)
     model.weight[0] += np.log(np.array([counts[d] for d in domains]) / seen)
+    del rows
+    release()
     return model
 
 

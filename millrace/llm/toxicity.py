@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordMemo, slices, sole, split_words
+from .words import WordMemo, release, slices, sole, split_words
 
 ORDER, DECAY, WINDOW = 3, 0.6, 20
 SIZES = (4, 5, 6, 7, 8)  # of the marking n-grams, word marks included
@@ -285,38 +285,44 @@ class Rows:
                     words.add(w)
             self.words_of.append(np.array(sorted(number.setdefault(w, len(number)) for w in words), dtype=np.int64))
         self.words = list(number)
-        parts = [gram_hashes(self.words[k : k + 20_000]) for k in range(0, len(self.words), 20_000)]
-        hashed = np.concatenate([np.empty(0, np.uint64), *(h for h, *_ in parts)])
-        word = np.concatenate([np.empty(0, np.int32), *((w + 20_000 * k).astype(np.int32) for k, (_, w, _, _) in enumerate(parts))])
-        start = np.concatenate([np.empty(0, np.int16), *(x.astype(np.int16) for _, _, x, _ in parts)])
-        size = np.concatenate([np.empty(0, np.int16), *(x.astype(np.int16) for *_, x in parts)])
-        del parts
-        # Only n-grams of words of toxic rows can mark.
+        # Only n-grams that two toxic rows hold can mark. They are found first, so that those of all other words are never held.
         seen = np.zeros(len(self.words), bool)
         for words, y in zip(self.words_of, self.toxic):
             if y:
                 seen[words] = True
-        wanted = np.unique(hashed[seen[word]])
-        at = np.minimum(np.searchsorted(wanted, hashed), max(0, len(wanted) - 1))
-        keep = wanted[at] == hashed if len(wanted) else np.zeros(len(hashed), bool)
-        self.gram, self.word, start, size = at[keep].astype(np.int32), word[keep], start[keep], size[keep]
-        order = np.argsort(self.word, kind="stable")
-        self.gram, self.word, start, size = self.gram[order], self.word[order], start[order], size[order]
-        self._ends = np.searchsorted(self.word, np.arange(len(self.words) + 1))
-        held = np.zeros(len(wanted), np.int64)
+        hashed, word = (np.concatenate(c) for c in zip(*((h, w) for h, w, _, _ in self._hashed(np.flatnonzero(seen)))))
+        wanted, self.gram = np.unique(hashed, return_inverse=True)
+        del hashed
+        order = np.argsort(word, kind="stable")
+        self.gram, self._ends = self.gram[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(self.words) + 1))
+        del order, word
+        held = np.zeros(len(wanted), np.int32)
         for words, y in zip(self.words_of, self.toxic):
             if y:
                 held[self._grams(words)] += 1
-        shared = held >= 2
-        keep = shared[self.gram]
-        renamed = np.cumsum(shared) - 1
-        self.gram, self.word, start, size = renamed[self.gram[keep]].astype(np.int32), self.word[keep], start[keep], size[keep]
+        wanted = wanted[held >= 2]
+        parts = []
+        for h, w, start, size in self._hashed(np.arange(len(self.words))):
+            at = np.searchsorted(wanted, h)
+            keep = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == h) if len(wanted) else at[:0]
+            parts.append((at[keep].astype(np.int32), w[keep], start[keep].astype(np.int16), size[keep].astype(np.int16)))
+        self.gram, self.word, start, size = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.argsort(self.word, kind="stable")
+        self.gram, self.word, start, size = self.gram[order], self.word[order], start[order], size[order]
         self._ends = np.searchsorted(self.word, np.arange(len(self.words) + 1))
-        first = np.zeros(int(shared.sum()), np.int64)
+        first = np.zeros(len(wanted), np.int64)
         first[self.gram[::-1]] = np.arange(len(self.gram))[::-1]
         self._place = (self.word[first], start[first], size[first])
         self.grams_of = [self._grams(words).astype(np.int32) for words in self.words_of]
 
+    def _hashed(self, words: np.ndarray, some: int = 5000) -> Iterator[tuple[np.ndarray, ...]]:
+        """(hash, word, start, size) of the marking n-grams of words by their numbers, a lot at a time."""
+        for k in range(0, max(1, len(words)), some):
+            lot = words[k : k + some]
+            h, w, start, size = gram_hashes([self.words[i] for i in lot.tolist()])
+            yield h, lot[w].astype(np.int32), start, size
+
     def _grams(self, words: np.ndarray) -> np.ndarray:
         found = [self.gram[self._ends[w] : self._ends[w + 1]] for w in words.tolist()]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
@@ -425,6 +431,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 36, seed: int = 7
     With fewer than ``least`` rows of a class, folds leave an SVM too little, and the link takes the SVM of all rows.
     """
     data = Rows(rows)
+    release()
     every = np.arange(len(rows))
     svm = word_svm(data, every, landmarks, np.random.default_rng(seed))
     if svm is None:
@@ -455,6 +462,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 36, seed: int = 7
         if broken:
             evidence.append(unseen.evidence(broken))
             target += [1] * len(broken)
+        del others, unseen, broken
+        release()
     x = np.vstack(evidence)
     x, target = np.hstack([x, np.ones((len(x), 1))]), np.array(target, float)
     link = np.zeros(4)
@@ -477,7 +486,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> ToxicityMod
     spark = docs.sparkSession
     chosen = spark.createDataFrame(picked.distinct().collect(), "doc_id bigint, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
-    return train([(r["text"], r["toxic"]) for r in rows.collect()])
+    model = train([(r["text"], r["toxic"]) for r in rows.collect()])
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

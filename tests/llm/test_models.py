@@ -111,3 +111,26 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     mixture, table = mixing.fit(no_docs, none, {"good": 1.0})
     assert mixing.rates(table, mixture).count() == 0
+
+
+def test_training_rows_hold_no_grams_of_clean_words():
+    """N-grams that two toxic rows at least hold, as by plain counting, in room that does not grow with the clean rows' words."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60_000)]
+    toxic = [" ".join(words[k : k + 6]) + " idiot moron" for k in range(0, 60, 3)]
+    rows = [(t, 1) for t in toxic] + [(" ".join(words[k : k + 600]), 0) for k in range(60, 60_000, 600)]
+    tracemalloc.start()
+    made = toxicity.Rows(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+
+    def plain(text):
+        return {f"^{w}$"[i : i + n] for w in text.split() for n in toxicity.SIZES for i in range(len(w) + 3 - n)}
+
+    held = [plain(t) for t in toxic]
+    want = {g for x in held for g in x if sum(g in y for y in held) >= 2}
+    assert {made.text_of(g) for g in range(made.grams)} == want and made.grams == len(want)
+    assert [{made.text_of(g) for g in x} for x in made.grams_of] == [plain(t) & want for t, _ in rows]
+    assert most < 36e6
